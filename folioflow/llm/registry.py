@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import splits, titles
+from folioflow.llm import consensus, ranking, splits, titles
 
-_MODULES = (splits, titles)
+_MODULES = (splits, ranking, consensus, titles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
