@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import consensus, defects, leaks, ranking, splits, titles
+from folioflow.llm import consensus, defects, garbled, leaks, packing, ranking, splits, titles
 
-_MODULES = (splits, ranking, consensus, defects, titles, leaks)
+_MODULES = (splits, ranking, consensus, defects, titles, packing, leaks, garbled)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
