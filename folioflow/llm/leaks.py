@@ -48,7 +48,7 @@ ITEMS_AT_ONCE, CHARACTERS_AT_ONCE = 4000, 8_000_000
 _TAG = re.compile(r"<[^<>\n]{1,60}>")
 _TOKEN = re.compile("[㐀-鿿]|[^\\W_㐀-鿿]+(?:[-.'’‐‑·][^\\W_㐀-鿿]+)*")
 _JOINERS = str.maketrans("", "", "-.'’‐‑·")
-_PLAIN = re.compile(r"[\x00-\x7f]*")
+_HAN = re.compile("[㐀-鿿]")
 
 
 def tokens(text: str) -> list[str]:
@@ -67,33 +67,27 @@ def _chinese(t: str) -> bool:
     return "㐀" <= t <= "鿿"
 
 
-def terms(toks: list[str]) -> list[str]:
-    """One term per token: the token with the two after it, or the Chinese character with the three after it.
-
-    Single words say little where texts are written after the same patterns.
-    """
-    out = list(map(" ".join, zip(toks, toks[1:], toks[2:], strict=False)))
-    if not " ".join(out[::4]).isascii() and any(map(_chinese, toks)):
-        out = [x + d if "㐀" <= x <= "鿿" else x for x, d in zip(out, [*toks[3:], ""], strict=False)]
-    return out + toks[len(out) :]
-
-
 class Index:
     """BM25 over items, for passages in bulk."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.tokens = [tokens(t) for _, t in items]
-        lists = [terms(t) for t in self.tokens]
         n = len(items)
-        self.vocabulary: dict[str, int] = {}
-        for x in lists:
+        # Number 0 is any token that no item has.
+        self.number: dict[str, int] = {}
+        for x in self.tokens:
             for t in x:
-                self.vocabulary.setdefault(t, len(self.vocabulary))
-        v = len(self.vocabulary)
-        counts = np.zeros((v, n), np.float32)
+                self.number.setdefault(t, len(self.number) + 1)
+        self.is_chinese = np.array([False, *map(_chinese, self.number)], bool)
+        keys = [self._keys(self._numbers([x]))[: len(x)] for x in self.tokens]
+        self.keys = np.unique(np.concatenate([np.zeros(0, np.int64), *[k[k >= 0] for k in keys]]))
+        v = len(self.keys)
+        lists = [self._terms(k) for k in keys]
+        counts = np.zeros((v + 1, n), np.float32)
         for j, x in enumerate(lists):
-            np.add.at(counts[:, j], [self.vocabulary[t] for t in x], 1)
+            np.add.at(counts[:, j], x, 1)
+        counts = counts[:v]
         df = (counts > 0).sum(axis=1)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         length = np.maximum(1, counts.sum(axis=0))
@@ -114,7 +108,7 @@ class Index:
                 seen[t] = seen.get(t, 0) + 1
         self.information = [np.array([np.log(1 + (n - seen[t] + 0.5) / (seen[t] + 0.5)) for t in x]) if x else single for x in self.tokens]
         self.upto = [np.concatenate([[0.0], np.cumsum(x)]) for x in self.information]
-        self.term_ids = [np.array([self.vocabulary[t] for t in x], np.int64) for x in lists]
+        self.term_ids = lists
         self.anchors: list[dict[tuple[str, ...], list[int]]] = []
         for x, chinese in zip(self.tokens, self.chinese, strict=True):
             k, where = ANCHOR_CHARACTERS if chinese else ANCHOR_WORDS, {}
@@ -127,13 +121,41 @@ class Index:
         rows, self.post = np.nonzero(rare)
         self.post_weight = self.weights[rows, self.post]
 
-    def _least(self, j: int, x: list[str]) -> float:
+    def _numbers(self, docs: list[list[str]]) -> np.ndarray:
+        """The tokens' numbers, with three zeros behind each document."""
+        get, flat = self.number.get, []
+        for d in docs:
+            flat += [get(t, 0) for t in d]
+            flat += (0, 0, 0)
+        return np.array(flat, dtype=np.int64)
+
+    def _keys(self, numbers: np.ndarray) -> np.ndarray:
+        """The key of the term that begins at each token, -1 where a token of it is no item's.
+
+        A term is a token with the two after it, or a Chinese character with the three
+        after it: single words say little where texts are written after the same patterns.
+        """
+        v = len(self.number) + 1
+        w = np.concatenate([numbers, np.zeros(3, np.int64)])
+        a, b, c, d = w[:-3], w[1:-2], w[2:-1], w[3:]
+        chinese = self.is_chinese[a]
+        key = ((a * v + b) * v + c) * v + np.where(chinese, d, 0)
+        return np.where((a > 0) & (b > 0) & (c > 0) & (~chinese | (d > 0)), key, -1)
+
+    def _terms(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the terms; that of none is the number of terms."""
+        v = len(self.keys)
+        if not v:
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), v - 1)
+        return np.where(self.keys[at] == keys, at, v)
+
+    def _least(self, j: int, ids: np.ndarray) -> float:
         """The share of the least score of a run of the item that is long enough."""
-        ids = [self.vocabulary[t] for t in x]
         size = LEAST_CHARACTERS if self.chinese[j] else LEAST_WORDS
         if len(ids) < size:
             return np.inf
-        runs = [float(self.weights[list(set(ids[a : a + size - 3])), j].sum()) for a in range(0, len(ids) - size + 1)]
+        runs = [float(self.weights[[x for x in set(ids[a : a + size - 3].tolist()) if x < len(self.keys)], j].sum()) for a in range(0, len(ids) - size + 1)]
         return THRESHOLD * min(runs)
 
     def regions(self, docs: list[list[str]]) -> dict[tuple[int, int], tuple[int, int]]:
@@ -144,7 +166,7 @@ class Index:
         """
         found: dict[tuple[int, int], tuple[int, int]] = {}
         hits, ids_of = self.passages(docs)
-        flag = np.zeros(len(self.vocabulary) + 1, bool)
+        flag = np.zeros(len(self.keys) + 1, bool)
         last, fits = None, {}
         for d, i, lo, hi in hits:
             if d != last:
@@ -171,10 +193,10 @@ class Index:
         n = len(self.ids)
         if not n or not docs:
             return [], []
-        get, v = self.vocabulary.get, len(self.vocabulary)
-        half = [HALF_CHARACTERS if d and 3 * sum(map(_chinese, d[:200])) > min(200, len(d)) else HALF_WORDS for d in docs]
-        sizes = np.array([len(d) for d in docs])
-        ids = np.array([get(t, v) for d in docs for t in terms(d)], dtype=np.int64)
+        v = len(self.keys)
+        half = [HALF_CHARACTERS if d and 3 * len(_HAN.findall("".join(d))) > len(d) else HALF_WORDS for d in docs]
+        sizes = np.array([len(d) + 3 for d in docs])
+        ids = self._terms(self._keys(self._numbers(docs)))
         doc_of = np.repeat(np.arange(len(docs)), sizes)
         place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         halves = np.array(half)
