@@ -35,7 +35,7 @@ K, K_CHARACTERS, K_SLIPS = 3, 10, 4
 #: Titles of at most so many words are joined by characters.
 SHORT_WORDS = 4
 #: Evaluation strings on one segment from which it is cut once more.
-HOT = 200
+HOT = 32
 
 # Little words, which a title may gain or lose.
 LITTLE = frozenset("a an the and or of in on for with to from by at as into via its is are be".split())
@@ -43,6 +43,7 @@ LITTLE = frozenset("a an the and or of in on for with to from by at as into via
 STATUS = frozenset(
     "withdrawn withdrawal resubmission resubmitted revised revision revise extended full short long version paper camera ready preprint draft final submitted submission accepted rejected retracted updated corrected arxiv workshop anonymous anonymized anonymised under review manuscript copy latest new v".split()
 )
+NOTES = tuple(tuple(x.split()) for x in ("camera ready", "extended version", "full version", "final version", "full paper", "preprint", "resubmission", "withdrawn"))
 STATUS_CJK = frozenset("终稿 修订稿 修改稿 扩展版 重投 预印本 撤稿 草稿 初稿 完整版 已撤回 已撤稿 修订版 最终版 修改版 长文 正式版 再投稿 投稿版 预印版 增补版 新版".split())
 # Words of which placeholders consist.
 PLACEHOLDER = frozenset("untitled manuscript anonymous submission no not title titled paper under review tbd tba na n none null nan unknown draft missing to determined decided document test placeholder available given".split())
@@ -81,8 +82,9 @@ def title_words(title: str | None) -> list[str]:
     words = [w.replace("的", "") for p in parts for w in _TOKEN.findall(p)]
     if all(w in PLACEHOLDER or w in PLACEHOLDER_CJK or w.isdigit() or w in LITTLE for w in words):
         return []
-    while len(words) > 3 and words[-1] in ("withdrawn", "resubmission", "preprint"):
-        words.pop()
+    for note in NOTES:
+        if len(words) > len(note) + 1 and tuple(words[-len(note) :]) == note:
+            words = words[: -len(note)]
     content = [w for w in words if w and w not in LITTLE]
     return content or words
 
@@ -177,7 +179,7 @@ _ROWS = "key bigint, words string, view string, start int, size int"
 
 def candidates(evaluation: DataFrame, training: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs ``(e, t)`` of different strings that agree on a segment and are within the characters that may differ."""
-    e = evaluation.mapInPandas(_emit("evaluation"), _ROWS)
+    e = cut(evaluation.mapInPandas(_emit("evaluation"), _ROWS))
     t = training.mapInPandas(_emit("training"), _ROWS)
     many = e.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= hot).select("key")
     near = (F.col("e") != F.col("t")) & (F.levenshtein("e", "t", K_CHARACTERS) >= 0)
@@ -211,7 +213,7 @@ def slip(a: str, b: str) -> int | None:
     long = max(len(a), len(b))
     if not (a.isascii() and b.isascii() and a.isalpha() and b.isalpha()) or long < 3 or (_ROMAN.fullmatch(a) and _ROMAN.fullmatch(b)):
         return None
-    most = 1 if long < 9 else 2
+    most = 1 if long < 6 else 2
     n = edits(a, b, most)
     return n if n <= most else None
 
