@@ -332,13 +332,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 class _Once:
     """The index of a broadcast chunk, built at most once per Python worker."""
 
-    _built: dict[int, Index] = {}
+    _built: dict[tuple, Index] = {}
 
     def __init__(self, shared):
         self.shared = shared
 
     def __call__(self) -> Index:
-        key = hash(tuple(i for i, _ in self.shared.value)), len(self.shared.value)
+        # Workers are reused: the texts are part of what an index is known by.
+        key = tuple(self.shared.value)
         if key not in _Once._built:
             _Once._built.clear()
             _Once._built[key] = Index(self.shared.value)
