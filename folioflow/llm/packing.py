@@ -31,7 +31,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public vocabulary splits a text before its merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Buckets in which the items of one length are numbered.
-BUCKETS = 64
+BUCKETS = 16
 
 
 @lru_cache(maxsize=2)
