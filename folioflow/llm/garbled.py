@@ -36,8 +36,6 @@ WORD_LENGTH = 40
 PIECE_GAIN, DOCUMENT_GAIN = 5.0, 5.0
 #: How much more frequent than what stands there the word must be that a single changed byte points to, and its least count.
 WORD_RATIO, WORD_COUNT = 20.0, 4
-#: Nats per pair of characters under which a piece is looked at.
-USUAL = 6.5
 #: States kept at each byte of the lattice, rounds for text garbled more than once.
 BEAM, ROUNDS = 12, 3
 
@@ -115,12 +113,14 @@ class Model:
                 if c > "\x7f":
                     single[c] += n
         self.common = dict(single)
-        # Characters of the model by their UTF-8 bytes with one byte open.
+        # Characters of the model by their UTF-8 bytes with one byte, or the two after the first, open; frequent ones first.
         self.open: dict[tuple[int | None, ...], list[str]] = {}
         for c, _ in single.most_common():
             b = c.encode("utf-8", "surrogatepass")
             for i in range(len(b)):
                 self.open.setdefault((*b[:i], None, *b[i + 1 :]), []).append(c)
+            if len(b) == 3:
+                self.open.setdefault((b[0], None, None), []).append(c)
         self.by_gaps: dict[str, tuple[int, str]] = {}
         for w, n in words.items():
             g = re.sub("[^\x00-\x7f]", LOST, w)
@@ -159,10 +159,10 @@ class Model:
                             options.append((size, bytes(part).decode("utf-8")))
                         except UnicodeDecodeError:
                             pass
-                    elif gaps == 1:
+                    else:
                         options += [(size, c) for c in self.open.get(part, ())[:BEAM]]
-                if b is None:
-                    options.append((1, LOST))
+                # A byte that leads nowhere stays lost, at a price.
+                options.append((1, LOST))
             else:
                 part = data[i : i + 2]
                 if len(part) == 2 and None not in part:
@@ -238,9 +238,6 @@ class Model:
                 return 2 * DOCUMENT_GAIN, piece[:at] + filled + piece[at + len(w) :]
             return 2 * DOCUMENT_GAIN, best[1]
         two = pairs(piece)
-        mean = -sum(self.log.get(k, self.floor) for k in two) / max(1, len(two))
-        if mean < USUAL:
-            return 0.0, piece
         before = self.score(piece)
         best = (0.0, piece)
         for kind, o in self.originals(piece):
