@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import nested_queries
+from folioflow.plans import nested_queries, text_queries
 
-_MODULES = (nested_queries,)
+_MODULES = (nested_queries, text_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
