@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.plans.lineage import cut
@@ -30,3 +30,52 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
         return placed.drop("_id").withColumn(name, F.lit(None).cast("bigint"))
     starts = F.create_map(*[F.lit(x).cast("bigint") for pair in offsets for x in pair])
     return placed.withColumn(name, F.element_at(starts, block) + place + 1).drop("_id")
+
+
+def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool = False, partitions: int | None = None) -> DataFrame:
+    """Per distinct ``value`` the sums of some columns at it and before it: ``(value, <c>, <c>_before)``.
+
+    Ties are one row, so that averages of ranks, cumulative counts and thresholds come
+    out the same whatever the order within them. Rows with a null value are left out.
+    Like :func:`global_row_number` it never sorts in one task: blocks in the order of
+    the values are summed on their own and carried on by one total per block.
+    """
+    spark = df.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.desc(value) if descending else F.asc(value)
+    per = df.filter(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(c).alias(c) for c in sums])
+    placed = cut(per.repartitionByRange(partitions, order).withColumn("_block", F.spark_partition_id()))
+    blocks = sorted(placed.groupBy("_block").agg(*[F.sum(c).alias(c) for c in sums]).collect())
+    carried, rows = [0] * len(sums), []
+    for b in blocks:
+        rows.append((b["_block"], *map(float, carried)))
+        carried = [x + (b[c] or 0) for x, c in zip(carried, sums, strict=True)]
+    starts = spark.createDataFrame(rows, "_block int, " + ", ".join(f"_s_{c} double" for c in sums)) if rows else spark.createDataFrame([], "_block int, " + ", ".join(f"_s_{c} double" for c in sums))
+    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(starts), "_block")
+    return out.select(value, *sums, *[(F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}_before") for c in sums])
+
+
+def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """``df`` with the rank of ``value`` from 0, ties at their mean position; null for a null value."""
+    totals = running_totals(df.withColumn("_one", F.lit(1)), value, ["_one"])
+    ranks = totals.select(value, (F.col("_one_before") + (F.col("_one") - 1) / 2).alias(name))
+    return df.join(ranks, value, "left")
+
+
+def evenly_spaced(df: DataFrame, order: list[Column], k: int, half_even: bool = False) -> DataFrame:
+    """``k`` rows at even distances of the ordered table, with ``sample_no`` from 0.
+
+    The places are i * (n - 1) / (k - 1), rounded half up or half to even; for k = 1
+    the middle. Where k exceeds the rows, rows come out repeatedly.
+    """
+    n = df.count()
+    if not n or k <= 0:
+        return df.withColumn("sample_no", F.lit(0)).limit(0)
+    if k == 1:
+        places = [(0, n // 2)]
+    else:
+        places = [(i, round(i * (n - 1) / (k - 1)) if half_even else int(i * (n - 1) / (k - 1) + 0.5)) for i in range(k)]
+    wanted = df.sparkSession.createDataFrame(places, "sample_no int, _place bigint")
+    numbered = global_row_number(df, order, "_number")
+    return numbered.join(F.broadcast(wanted), F.col("_number") - 1 == F.col("_place")).drop("_number", "_place")

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import nested_queries, text_queries
+from folioflow.plans import nested_queries, rank_queries, table_queries, text_queries
 
-_MODULES = (nested_queries, text_queries)
+_MODULES = (nested_queries, text_queries, table_queries, rank_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return nested_queries.found(spark, folder)
+    return rank_queries.leak_free(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

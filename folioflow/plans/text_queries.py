@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,11 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def _project(name: str, source: str, key: str, make: dict[str, Column], sql: dict[str, str] | None = None, keep: str = "true") -> None:
+def _project(name: str, source: str, key: str, make: Callable[[], dict[str, Column]], sql: dict[str, str] | None = None, keep: str = "true") -> None:
     """Registers a projection: the key and the made columns of the source's rows for which ``keep`` holds."""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return table(spark, folder, source).filter(keep).select(key, *[c.alias(n) for n, c in make.items()])
+        return table(spark, folder, source).filter(keep).select(key, *[c.alias(n) for n, c in make().items()])
 
     QUERIES[name] = query
     if sql:
@@ -40,39 +42,38 @@ _SQUEEZE = _g("{0}", (r"\x{{ad}}", _E), (r"[\s\x{{a0}}]+", "' '"), ("^ | $", _E)
 _CJK = r"len(regexp_extract_all({0}, '[\x{{3400}}-\x{{9fff}}]'))"
 _LATIN = "len(regexp_extract_all({0}, '[A-Za-z]'))"
 
-_t = F.col("text")
-_project("f01_clean_text", "documents", "doc_id", {"cleaned": text.clean_text(_t)}, {"cleaned": _CLEAN.format("text", 200000)})
-_project("f15_squeeze", "documents", "doc_id", {"squeezed": text.squeeze(_t)}, {"squeezed": _SQUEEZE.format("text")})
-_project("f17_document_text", "documents", "doc_id", {"normal": text.document_text(_t)}, {"normal": _DOCUMENT.format("text")})
+_project("f01_clean_text", "documents", "doc_id", lambda: {"cleaned": text.clean_text(F.col("text"))}, {"cleaned": _CLEAN.format("text", 200000)})
+_project("f15_squeeze", "documents", "doc_id", lambda: {"squeezed": text.squeeze(F.col("text"))}, {"squeezed": _SQUEEZE.format("text")})
+_project("f17_document_text", "documents", "doc_id", lambda: {"normal": text.document_text(F.col("text"))}, {"normal": _DOCUMENT.format("text")})
 _project(
     "f05_redact",
     "documents",
     "doc_id",
-    {"redacted": text.redact(_t)},
+    lambda: {"redacted": text.redact(F.col("text"))},
     {
         "redacted": "regexp_replace("
         + _g(_CLEAN.format("text", 200000), (text.EMAIL, "'[REDACTED_EMAIL]'"), (text.PROFILE_LINK, "'[REDACTED_PROFILE]'"), (text.PROFILE_NAME.replace("'", "''"), "'[REDACTED_PROFILE]'"))
         + f", '{text.ORCID}', '\\1[REDACTED_ORCID]\\2', 'g')"
     },
 )
-_project("f18_word_count", "documents", "doc_id", {"words": text.word_count(_t)}, {"words": "len(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')) + " + _CJK.format("text")})
+_project("f18_word_count", "documents", "doc_id", lambda: {"words": text.word_count(F.col("text"))}, {"words": "len(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')) + " + _CJK.format("text")})
 _project(
     "f19_language",
     "documents",
     "doc_id",
-    {"by_letters": text.document_language(_t), "by_length": text.text_language(_t)},
+    lambda: {"by_letters": text.document_language(F.col("text")), "by_length": text.text_language(F.col("text"))},
     {
         "by_letters": f"CASE WHEN {_CJK.format('text')} >= {_LATIN.format('text')} * 0.35 THEN 'zh' ELSE 'en' END",
         "by_length": f"CASE WHEN {_CJK.format('text')} > length(text) * 0.1 THEN 'zh-CN' ELSE 'en' END",
     },
     "text is not null",
 )
-_project("t12_section_flags", "documents", "doc_id", {f"has_{n}": _t.rlike(p) for n, p in text.SECTIONS.items()}, {f"has_{n}": f"regexp_matches(text, '{p}')" for n, p in text.SECTIONS.items()})
+_project("t12_section_flags", "documents", "doc_id", lambda: {f"has_{n}": F.col("text").rlike(p) for n, p in text.SECTIONS.items()}, {f"has_{n}": f"regexp_matches(text, '{p}')" for n, p in text.SECTIONS.items()})
 _project(
     "f34_head_and_tail",
     "documents",
     "doc_id",
-    {"short": text.head_and_tail(_t, 400)},
+    lambda: {"short": text.head_and_tail(F.col("text"), 400)},
     {"short": "CASE WHEN length(text) > 400 THEN substring(text, 1, 200) || chr(10) || '[...]' || chr(10) || right(text, 200) ELSE text END"},
 )
 _TERMS = f"list_filter(regexp_extract_all(lower({{0}}), '[\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda w: length(w) > 1 AND NOT list_contains({_words(text.STOPWORDS)}, w))"
@@ -80,7 +81,7 @@ _project(
     "f24_terms",
     "documents",
     "doc_id",
-    {"terms": F.size(text.terms(_t)), "distinct_terms": F.size(F.array_distinct(text.terms(_t)))},
+    lambda: {"terms": F.size(text.terms(F.col("text"))), "distinct_terms": F.size(F.array_distinct(text.terms(F.col("text"))))},
     {"terms": f"len({_TERMS.format('text')})", "distinct_terms": f"len(list_distinct({_TERMS.format('text')}))"},
     "text is not null",
 )
@@ -88,8 +89,8 @@ _project(
     "f40_hashes",
     "documents",
     "doc_id",
-    {
-        "digest": hashing.sha256(_t),
+    lambda: {
+        "digest": hashing.sha256(F.col("text")),
         "unit": F.round(hashing.stable_unit(F.col("doc_id").cast("string"), "42"), 9),
         "parity_unit": F.round(hashing.stable_unit(F.col("doc_id").cast("string"), "42", parity=True), 9),
         "ratio": F.round(hashing.ratio_unit(F.col("doc_id").cast("string"), "42"), 9),
@@ -108,12 +109,11 @@ _project(
     },
 )
 _TITLE_TOKENS = f"list_filter(string_split({_g('lower({0})', ('[^{P}]+', chr(39) + ' ' + chr(39)), ('^ | $', _E))}, ' '), lambda w: w <> '' AND NOT list_contains({_words(text.TITLE_WORDS)}, w))".replace("{P}", r"\p{{L}}\p{{N}}")
-_title = F.col("manuscript.title")
 _project(
     "f04_title_key",
     "cases",
     "case_id",
-    {"title_key": text.title_key(_title), "tokens": F.size(F.array_distinct(text.title_tokens(_title))), "key_hash": hashing.sha256(text.title_key(_title))},
+    lambda: {"title_key": text.title_key(F.col("manuscript.title")), "tokens": F.size(F.array_distinct(text.title_tokens(F.col("manuscript.title")))), "key_hash": hashing.sha256(text.title_key(F.col("manuscript.title")))},
     {
         "title_key": f"array_to_string({_TITLE_TOKENS.format('manuscript.title')}, ' ')",
         "tokens": f"len(list_distinct({_TITLE_TOKENS.format('manuscript.title')}))",
@@ -125,7 +125,7 @@ _project(
     "f13_names",
     "cases",
     "case_id",
-    {"name_key": text.name_key(_title), "identity_key": text.identity_key(_title), "slug": text.slug(_title), "html": text.decode_html(_title)},
+    lambda: {"name_key": text.name_key(F.col("manuscript.title")), "identity_key": text.identity_key(F.col("manuscript.title")), "slug": text.slug(F.col("manuscript.title")), "html": text.decode_html(F.col("manuscript.title"))},
     {
         "name_key": _g("lower(manuscript.title)", ("&", "'and'"), (r"[^a-z0-9\x{3400}-\x{9fff}]+", "' '"), ("^ | $", _E)),
         "identity_key": _g("lower(manuscript.title)", ("[^a-z0-9]+", _E)),
@@ -137,12 +137,11 @@ _project(
         "html": _SQUEEZE.format("replace(replace(replace(replace(replace(replace(regexp_replace(manuscript.title, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"),
     },
 )
-_venue = F.col("source.venue_id")
 _project(
     "f10_venue",
     "cases",
     "case_id",
-    {"year": text.year_of_venue(_venue), "venue_group": text.venue_group(_venue), "last_step": F.element_at(F.split(_venue, "/"), -1)},
+    lambda: {"year": text.year_of_venue(F.col("source.venue_id")), "venue_group": text.venue_group(F.col("source.venue_id")), "last_step": F.element_at(F.split(F.col("source.venue_id"), "/"), -1)},
     {
         "year": "CAST(nullif(regexp_extract(source.venue_id, '(20[0-9]{2})(/|$)', 1), '') AS INTEGER)",
         "venue_group": "regexp_replace(source.venue_id, '(?i)(/Conference)(/.*)?$', '\\1')",
@@ -150,15 +149,14 @@ _project(
     },
 )
 _NUMBERS = "list_filter(list_transform(regexp_split_to_array({0}, '[;,|[:space:]]+'), lambda x: try_cast(x AS DOUBLE)), lambda x: x IS NOT NULL)"
-_project("f08_number_list", "proreview", "paper_id", {"ratings": text.number_list(F.col("scores.rating")), "confidences": text.number_list(F.col("scores.confidence"))}, {"ratings": _NUMBERS.format("scores.rating"), "confidences": _NUMBERS.format("scores.confidence")})
-_project("f07_first_number", "review_scores", "review_id", {"rating": text.first_number(F.col("rating"))}, {"rating": "CAST(nullif(regexp_extract(rating, '-?[0-9]+(?:\\.[0-9]+)?', 0), '') AS DOUBLE)"})
-_decision = F.col("decision.decision")
+_project("f08_number_list", "proreview", "paper_id", lambda: {"ratings": text.number_list(F.col("scores.rating")), "confidences": text.number_list(F.col("scores.confidence"))}, {"ratings": _NUMBERS.format("scores.rating"), "confidences": _NUMBERS.format("scores.confidence")})
+_project("f07_first_number", "review_scores", "review_id", lambda: {"rating": text.first_number(F.col("rating"))}, {"rating": "CAST(nullif(regexp_extract(rating, '-?[0-9]+(?:\\.[0-9]+)?', 0), '') AS DOUBLE)"})
 _LOW = "lower(coalesce(decision.decision, ''))"
 _project(
     "l01_decision_labels",
     "proreview",
     "paper_id",
-    {r: text.decision_label(_decision, r) for r in ("accept_first", "reject_first", "strict")},
+    lambda: {r: text.decision_label(F.col("decision.decision"), r) for r in ("accept_first", "reject_first", "strict")},
     {
         "accept_first": f"CASE WHEN contains({_LOW}, 'accept') THEN 1 WHEN regexp_matches({_LOW}, 'reject|withdraw|decline') THEN 0 END",
         "reject_first": f"CASE WHEN regexp_matches({_LOW}, 'reject|withdraw') THEN 0 WHEN contains({_LOW}, 'accept') THEN 1 ELSE -1 END",
@@ -169,7 +167,7 @@ _project(
     "f16_clean_evidence",
     "proreview",
     "paper_id",
-    {"evidence": text.clean_evidence(F.col("markdown.content"))},
+    lambda: {"evidence": text.clean_evidence(F.col("markdown.content"))},
     {
         "evidence": _SQUEEZE.format(
             _g(
@@ -186,13 +184,13 @@ _project(
         ).replace("{{", "{").replace("}}", "}")
     },
 )
-_project("f21_reference_count", "proreview", "paper_id", {"references": text.reference_count(F.col("markdown.content"))})
-_project("f30_sentences", "proreview", "paper_id", {"sentences": text.sentences(F.col("markdown.content"))})
+_project("f21_reference_count", "proreview", "paper_id", lambda: {"references": text.reference_count(F.col("markdown.content"))})
+_project("f30_sentences", "proreview", "paper_id", lambda: {"sentences": text.sentences(F.col("markdown.content"))})
 _project(
     "f32_prompt",
     "proreview",
     "paper_id",
-    {"prompt": F.format_string("Given a certain paper, Title: %s Abstract: %s", text.squeeze(F.col("title")), F.substring(text.squeeze(F.col("markdown.content")), 1, 300))},
+    lambda: {"prompt": F.format_string("Given a certain paper, Title: %s Abstract: %s", text.squeeze(F.col("title")), F.substring(text.squeeze(F.col("markdown.content")), 1, 300))},
     {"prompt": f"'Given a certain paper, Title: ' || {_SQUEEZE.format('title')} || ' Abstract: ' || substring({_SQUEEZE.format('markdown.content')}, 1, 300)"},
     "title is not null and markdown.content is not null",
 )
@@ -229,27 +227,26 @@ ORACLE["f25_stems"] = f"""SELECT stem, count(*) AS n, count(DISTINCT id) AS revi
     SELECT id, unnest(list_filter(list_transform(list_filter(regexp_extract_all(lower(concat_ws(' ', summary, strengths, weaknesses, questions)), '[a-z][a-z0-9-]{{2,}}'),
         lambda w: NOT list_contains({_words(text.STOPWORDS)}, w)), lambda w: {_stem_sql("w")}), lambda w: NOT list_contains({_words(text.STOPWORDS)}, w))) AS stem FROM {_REVIEWS_SQL}) GROUP BY 1"""
 
-_raw = F.col("raw_output")
 _BODY = _g("raw_output", ("(?s)<think>.*?</think>", _E), ("(?i)```(?:json)?", _E))
 _project(
     "f59_json_body",
     "eval_runs",
     "run_id",
-    {"body": text.json_body(_raw)},
+    lambda: {"body": text.json_body(F.col("raw_output"))},
     {"body": f"CASE WHEN instr({_BODY}, '{{') > 0 AND instr(reverse({_BODY}), '}}') > 0 AND length({_BODY}) - instr(reverse({_BODY}), '}}') + 1 >= instr({_BODY}, '{{') THEN substring({_BODY}, instr({_BODY}, '{{'), length({_BODY}) - instr(reverse({_BODY}), '}}') - instr({_BODY}, '{{') + 2) END"},
 )
 _project(
     "f59_json_props",
     "events",
     "event_id",
-    {"k": F.get_json_object("props", "$.k").try_cast("int")},
+    lambda: {"k": F.get_json_object("props", "$.k").try_cast("int")},
     {"k": "try_cast(json_extract_string(props, '$.k') AS INTEGER)"},
 )
 _project(
     "f45_numbers",
     "part",
     "p_partkey",
-    {
+    lambda: {
         "clamped": F.round(numbers.clamp(F.col("p_retailprice") / 100, 0, 12), 6),
         "sigmoid": F.round(numbers.sigmoid((F.col("p_retailprice") - 1000) / 100), 6),
         "log": F.round(F.log1p("p_retailprice"), 6),
