@@ -56,6 +56,28 @@ def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool
     return out.select(value, *sums, *[(F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}_before") for c in sums])
 
 
+def group_row_number(df: DataFrame, group: list[str], order: list[Column], name: str = "row_number", size: str | None = None) -> DataFrame:
+    """``df`` with a row number from 1 within each group and, if asked for, the group's size.
+
+    The rows of all groups are numbered in one order of group and ``order``; less the
+    number at which the group begins, that is the number within it. A group of a third
+    of all rows is spread over as many range partitions as any other third. Null
+    groups are a group of their own.
+    """
+    numbered = global_row_number(df, [*[F.asc_nulls_first(g) for g in group], *order], "_all")
+    key = F.struct(*[F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in group])
+    starts = numbered.groupBy(key.alias("_g")).agg(F.min("_all").alias("_start"), F.count("*").alias("_size"))
+    out = numbered.withColumn("_g", key).join(starts, "_g").withColumn(name, F.col("_all") - F.col("_start") + 1)
+    return (out.withColumn(size, F.col("_size")) if size else out).drop("_g", "_all", "_start", "_size")
+
+
+def tile(number: Column, size: Column, tiles: int) -> Column:
+    """Which of ``tiles`` parts of a group a row number lies in, from 1; the first parts are the larger ones."""
+    q, r = F.floor(size / tiles), size % tiles
+    large = r * (q + 1)
+    return F.when(number <= large, F.floor((number - 1) / (q + 1)) + 1).otherwise(r + F.floor((number - 1 - large) / F.greatest(q, F.lit(1))) + 1).cast("int")
+
+
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """``df`` with the rank of ``value`` from 0, ties at their mean position; null for a null value."""
     totals = running_totals(df.withColumn("_one", F.lit(1)), value, ["_one"])

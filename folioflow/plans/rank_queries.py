@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
 from folioflow.functions.hashing import hash_order, ratio_unit
 from folioflow.operators import calibration, dedup, fusion, metrics, ranks, similarity
-from folioflow.plans.table_queries import _TERMS, _TKEY, PAPERS_SQL, papers, verdicts
+from folioflow.plans.table_queries import _TERMS, _TKEY, PAPERS_SQL, pair_outcomes, papers, verdicts
 from folioflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -280,8 +280,6 @@ def m29(spark, folder):
 @_query("m21_bootstrap")
 def m21(spark, folder):
     """How much more often judges agree with the ratings than the mock scores do, with a paired bootstrap interval."""
-    from folioflow.plans.table_queries import pair_outcomes
-
     t = pair_outcomes(spark, folder).join(verdicts(spark, folder).filter("said is not null"), "pair_id")
     judge = F.when(F.col("said") == "tie", 0.5).when(F.col("said") == F.when(F.col("delta") > 0, "A").otherwise("B"), 1.0).otherwise(0.0)
     mock = F.when(F.col("outcome") == "tie", 0.5).when(F.col("outcome") == "correct", 1.0).otherwise(0.0)
@@ -294,8 +292,6 @@ _BATCHED = "(SELECT b, s_suppkey AS item, row_number() OVER (PARTITION BY b ORDE
 
 
 def _rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
     t = table(spark, folder, "supplier").withColumn("batch", F.floor((F.col("s_suppkey") - 1) / 4)).withColumn("item", F.col("s_suppkey"))
     w = Window.partitionBy("batch")
     one = t.select("batch", "item", (F.row_number().over(w.orderBy(F.desc("s_acctbal"), "s_suppkey")) - 1).alias("rank"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
-from folioflow.functions.numbers import ratio, wilson
-from folioflow.operators import fusion, labels, validation
-from folioflow.operators.ranks import global_row_number
+from folioflow.functions.hashing import mock_score
+from folioflow.functions.numbers import bucket, ratio, wilson
+from folioflow.operators import fusion, labels, metrics, validation
+from folioflow.operators.ranks import evenly_spaced, global_row_number, group_row_number, tile
 from folioflow.operators.sampling import band_diverse, stratified_quota, top_per_group
 from folioflow.operators.scoring import close_json, parses, score
 from folioflow.sources.tables import table
@@ -56,8 +57,6 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
     """Each paper with its rating, its label and a mock score."""
-    from folioflow.functions.hashing import mock_score
-
     t = table(spark, folder, "proreview")
     rs, cs = text.number_list(F.col("scores.rating")), text.number_list(F.col("scores.confidence"))
     venue = F.regexp_extract(F.lower(F.regexp_replace("metadata.venueid", r"\s+", "")), "^/*([^/]+)", 1)
@@ -183,10 +182,8 @@ _HITS = "(SELECT user_id AS item, event_type AS query, row_number() OVER (PARTIT
 @_query("a11_rank_fusion", f"SELECT item, count(*) AS hits, count(DISTINCT query) AS queries, round(sum(1 / (rank + 1.0)), 6) AS rrf, max(relevance) AS relevance FROM {_HITS} GROUP BY 1")
 def a11(spark, folder):
     """Reciprocal-rank fusion of what each kind of event ranks by its value."""
-    from pyspark.sql import Window
-
-    t = table(spark, folder, "events")
-    hits = t.select(F.col("user_id").alias("item"), F.col("event_type").alias("query"), (F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")) - 1).alias("rank"), F.col("value").alias("relevance"))
+    t = group_row_number(table(spark, folder, "events").select("event_id", "event_type", "user_id", "value"), ["event_type"], [F.desc("value"), F.col("event_id")])
+    hits = t.select(F.col("user_id").alias("item"), F.col("event_type").alias("query"), (F.col("row_number") - 1).alias("rank"), F.col("value").alias("relevance"))
     return fusion.reciprocal_rank_fusion(hits, "item", "query", "rank", "relevance").withColumn("rrf", F.round("rrf", 6))
 
 
@@ -233,13 +230,11 @@ _METRICS = """count(*) AS pairs, count_if(outcome = 'tie') AS ties, round(count_
 
 def pair_outcomes(spark, folder):
     """The pairs of two papers with different ratings, and what the mock scores make of each."""
-    from folioflow.operators.metrics import pair_outcomes as outcome
-
     p = papers(spark, folder).select("paper_id", "venue", "year", "rating", "mock")
     a, b = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns]), p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns])
     t = table(spark, folder, "pairs").join(a, F.col("a_id") == F.col("a_paper_id")).join(b, F.col("b_id") == F.col("b_paper_id")).filter("a_rating <> b_rating")
     delta, guess = F.col("a_rating") - F.col("b_rating"), F.col("a_mock") - F.col("b_mock")
-    return t.select("pair_id", F.col("a_venue").alias("venue"), F.col("a_year").alias("year"), delta.alias("delta"), guess.alias("guess"), outcome(guess, delta, 0.2).alias("outcome"))
+    return t.select("pair_id", F.col("a_venue").alias("venue"), F.col("a_year").alias("year"), delta.alias("delta"), guess.alias("guess"), metrics.pair_outcomes(guess, delta, 0.2).alias("outcome"))
 
 
 def _pair_metrics():
@@ -340,8 +335,6 @@ def a22(spark, folder):
 @_query("a23_gap_histogram", "SELECT CAST(least(floor(abs(rts_gap) / 0.1), 9) AS INTEGER) AS bucket, count(*) AS pairs FROM pairs WHERE rts_gap IS NOT NULL GROUP BY 1")
 def a23(spark, folder):
     """Pairs in ten half-open buckets of their gap."""
-    from folioflow.functions.numbers import bucket
-
     return table(spark, folder, "pairs").filter("rts_gap is not null").groupBy(bucket(F.col("rts_gap"), 0.1, 10).alias("bucket")).agg(F.count("*").alias("pairs"))
 
 
@@ -477,19 +470,16 @@ def u06(spark, folder):
 @_query("w05_tertiles", "SELECT s_suppkey, ntile(3) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS tertile FROM supplier")
 def w05(spark, folder):
     """Tertiles within each nation."""
-    from pyspark.sql import Window
-
-    return table(spark, folder, "supplier").select("s_suppkey", F.ntile(3).over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("tertile"))
+    t = group_row_number(table(spark, folder, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], "rn", "n")
+    return t.select("s_suppkey", tile(F.col("rn"), F.col("n"), 3).alias("tertile"))
 
 
 @_query("w09_decay", "SELECT s_suppkey, greatest(1, least(100, floor(100 - (rn - 1) * 70 / greatest(1, n - 1) + 0.5))) AS score FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)")
 def w09(spark, folder):
     """Scores that fall with the place in the list."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("s_nationkey")
-    rn, n = F.row_number().over(w.orderBy(F.desc("s_acctbal"), "s_suppkey")), F.count("*").over(w)
-    return table(spark, folder, "supplier").select("s_suppkey", F.greatest(F.lit(1), F.least(F.lit(100), F.floor(100 - (rn - 1) * 70 / F.greatest(F.lit(1), n - 1) + 0.5))).alias("score"))
+    t = group_row_number(table(spark, folder, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], "rn", "n")
+    rn, n = F.col("rn"), F.col("n")
+    return t.select("s_suppkey", F.greatest(F.lit(1), F.least(F.lit(100), F.floor(100 - (rn - 1) * 70 / F.greatest(F.lit(1), n - 1) + 0.5))).alias("score"))
 
 
 _PARA = "(SELECT case_id, p, no FROM (SELECT case_id, unnest(manuscript.paragraphs) AS p, generate_subscripts(manuscript.paragraphs, 1) AS no FROM (SELECT * FROM cases WHERE case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY received_at DESC) = 1)))"
@@ -500,8 +490,6 @@ def w10(spark, folder):
     """The paragraphs of each case up to 600 characters, the last one cut."""
     t = incremental.last_wins(table(spark, folder, "cases").filter("case_id is not null").select("case_id", "received_at", F.col("manuscript.paragraphs.text").alias("texts")), ["case_id"], ["received_at"])
     p = t.select("case_id", F.posexplode("texts").alias("place", "text")).filter("text is not null")
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("case_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return p.withColumn("before", before).filter("before < 600").select("case_id", "place", F.least(F.length("text"), 600 - F.col("before")).alias("kept"))
 
@@ -512,8 +500,6 @@ _LINES = "(SELECT paper_id, unnest(string_split(markdown.content, chr(10))) AS l
 @_query("t02_sections", f"SELECT paper_id, CAST(s AS INTEGER) AS section_no, max(CASE WHEN h THEN trim(regexp_replace(line, '^ {{0,3}}#+[[:space:]]+', '')) END) AS heading, count(*) - 1 AS lines FROM (SELECT *, sum(h::INTEGER) OVER (PARTITION BY paper_id ORDER BY no) AS s FROM (SELECT *, regexp_matches(line, '^ {{0,3}}#{{1,6}}[[:space:]]+[^[:space:]]') AS h FROM {_LINES})) WHERE s > 0 GROUP BY 1, 2")
 def t02(spark, folder):
     """Markdown sections by a running count of headings; what stands before the first is left out."""
-    from pyspark.sql import Window
-
     lines = table(spark, folder, "proreview").select("paper_id", F.posexplode(F.split("markdown.content", "\n")).alias("no", "line"))
     h = F.col("line").rlike(r"^ {0,3}#{1,6}\s+\S")
     t = lines.withColumn("h", h).withColumn("section_no", F.sum(F.col("h").cast("int")).over(Window.partitionBy("paper_id").orderBy("no")).cast("int")).filter("section_no > 0")
@@ -549,8 +535,6 @@ def x03(spark, folder):
 @_query("o05_evenly_spaced", "SELECT CAST(i AS INTEGER) AS sample_no, p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS place, count(*) OVER () AS n FROM part), range(20) t(i) WHERE place = floor(i * (n - 1) / 19 + 0.5)")
 def o05(spark, folder):
     """Twenty parts at even distances of the price order."""
-    from folioflow.operators.ranks import evenly_spaced
-
     return evenly_spaced(table(spark, folder, "part"), [F.col("p_retailprice"), F.col("p_partkey")], 20).select("sample_no", "p_partkey")
 
 

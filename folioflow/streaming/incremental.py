@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folioflow.operators.ranks import group_row_number
+
 
 def pending(items: DataFrame, done: DataFrame, key: str, status: str | None = None, ok: str = "ok") -> DataFrame:
     """The items whose key isn't done yet; with ``status`` only rows that are ``ok`` count as done."""
@@ -36,8 +38,8 @@ def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def in_batches(df: DataFrame, partition: str, order: list[str], size: int) -> DataFrame:
     """``df`` with ``batch_no`` and ``place``: consecutive rows of each partition in batches of ``size``."""
-    rn = F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1
-    return df.withColumn("_rn", rn).withColumn("batch_no", F.floor(F.col("_rn") / size)).withColumn("place", (F.col("_rn") % size).cast("int")).drop("_rn")
+    rows = group_row_number(df, [partition], [F.col(c) for c in order], "_rn")
+    return rows.withColumn("batch_no", F.floor((F.col("_rn") - 1) / size)).withColumn("place", ((F.col("_rn") - 1) % size).cast("int")).drop("_rn")
 
 
 def append_stream(stream: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, time: str, late: str, out: str, checkpoint: str) -> StreamingQuery:
