@@ -42,6 +42,7 @@ BEAM, ROUNDS = 12, 3
 # Encodings of one byte a character that text is written in or taken for.
 SINGLE = ("cp1252", "iso8859-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac-roman", "mac-cyrillic", "cp437", "cp850", "cp1254")
 LOST = "�"
+MARK = "\ufeff"
 _WORD_EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -61,6 +62,8 @@ def _bytes_of(encoding: str) -> dict[str, int]:
 
 TO_BYTE = {e: _bytes_of(e) for e in SINGLE}
 FROM_BYTE = {e: {b: c for c, b in reversed(t.items())} for e, t in TO_BYTE.items()}
+#: How the UTF-8 byte order mark reads in each.
+MARKS = tuple(dict.fromkeys("".join(FROM_BYTE[e][b] for b in MARK.encode()) for e in SINGLE))
 
 
 def pieces(text: str) -> list[str]:
@@ -129,7 +132,9 @@ class Model:
         self.judge = lru_cache(maxsize=100_000)(self._judge)
 
     def score(self, piece: str) -> float:
-        return sum(self.log.get(k, self.floor) for k in pairs(piece))
+        """Nats of a piece; a byte order mark is no text and costs nothing."""
+        piece = piece.replace(MARK, "")
+        return sum(self.log.get(k, self.floor) for k in pairs(piece)) if piece else 0.0
 
     def _step(self, x: str, y: str) -> float:
         return self.log.get((x + y).translate(_CLASSES), self.floor) if x > "\x7f" or y > "\x7f" else 0.0
@@ -177,25 +182,25 @@ class Model:
             return None
         return max((s + self._step(said[-1], " "), said) for s, said in states[n])[1][1:]
 
-    def originals(self, piece: str) -> Iterator[tuple[str, str]]:
-        """(kind, original): u for a decoded sequence of bytes, s for a change of single bytes, w for a word with lost bytes filled in."""
+    def originals(self, piece: str) -> Iterator[tuple[str, str, tuple[str, str] | None]]:
+        """(kind, original, encodings): u for a decoded sequence of bytes, s for a change of single bytes from one encoding to another."""
         beyond = [c for c in piece if c > "\x7f"]
         highest = max(beyond)
-        seen: dict[tuple, None] = {}
+        seen: dict[tuple, str] = {}
         for e in SINGLE:
             table = TO_BYTE[e]
             if all(c in table or c == LOST for c in beyond):
-                seen.setdefault(tuple(ord(c) if c <= "\x7f" else table.get(c) for c in piece))
-        for data in seen:
+                seen.setdefault(tuple(ord(c) if c <= "\x7f" else table.get(c) for c in piece), e)
+        for data, wrong in seen.items():
             if len(beyond) > 1:
                 for s in ("utf-8", "gbk"):
                     if (o := self._lattice(data, s)) is not None:
-                        yield "u", o
+                        yield "u", o, None
             if None not in data:
                 for e in SINGLE:
                     o = "".join(chr(b) if b < 128 else FROM_BYTE[e][b] for b in data)
                     if o != piece:
-                        yield "s", o
+                        yield "s", o, (wrong, e)
         if highest >= "⺀" or any("Ͱ" <= c < "Ѐ" or "" <= c < "" for c in beyond):
             data = []
             for c in piece:
@@ -207,7 +212,7 @@ class Model:
                 except UnicodeEncodeError:
                     data.append(None)
             if (o := self._lattice(tuple(data), "utf-8")) is not None:
-                yield "u", o
+                yield "u", o, None
 
     def _lattice(self, data: tuple[int | None, ...], encoding: str) -> str | None:
         if None not in data:
@@ -218,29 +223,29 @@ class Model:
                 return None
         return self.decode(list(data), encoding)
 
-    def _judge(self, piece: str, rounds: int = ROUNDS) -> tuple[float, str]:
-        """(gain, original) of a piece: how much more probable its best original is; 0 and the piece itself if it is sound."""
+    def _judge(self, piece: str, rounds: int = ROUNDS) -> tuple[float, str, tuple[str, str] | None]:
+        """(gain, original, encodings) of a piece: how much more probable its best original is; 0 and the piece itself if it is sound."""
         if LOST not in piece and max(piece) >= "⺀":
             # No encoding of one byte a character has these: only UTF-8 taken for GBK could read so.
             try:
                 piece.encode("gb18030").decode("utf-8")
             except UnicodeError:
-                return 0.0, piece
+                return 0.0, piece, None
         here = self.words.get(word(piece), 0) if len(piece) <= WORD_LENGTH else 0
         if LOST in piece:
             n, w = self.by_gaps.get(word(piece), (0, ""))
-            best = max(((self.score(o) - self.score(piece), o) for k, o in self.originals(piece) if k == "u"), default=(0.0, piece))
+            best = max(((self.score(o) - self.score(piece), o) for k, o, _ in self.originals(piece) if k == "u"), default=(0.0, piece))
             if n and len(w) == len(word(piece)):
                 at = piece.lower().find(word(piece))
                 filled = "".join(y if x == LOST else x for x, y in zip(piece[at : at + len(w)], w, strict=True))
                 if piece[at:at + 1] == LOST:
                     filled = filled[:1].upper() + filled[1:] if piece[at + 1 : at + 2].isupper() else filled
-                return 2 * DOCUMENT_GAIN, piece[:at] + filled + piece[at + len(w) :]
-            return 2 * DOCUMENT_GAIN, best[1]
+                return 2 * DOCUMENT_GAIN, piece[:at] + filled + piece[at + len(w) :], None
+            return 2 * DOCUMENT_GAIN, best[1], None
         two = pairs(piece)
         before = self.score(piece)
-        best = (0.0, piece)
-        for kind, o in self.originals(piece):
+        best: tuple[float, str, tuple[str, str] | None] = (0.0, piece, None)
+        for kind, o, encodings in self.originals(piece):
             if _UNUSUAL.search(o):
                 # Text garbled twice: what comes out first may be no text yet.
                 o = self._judge(o, rounds - 1)[1] if kind == "u" and rounds > 1 and not o.isascii() else o
@@ -257,21 +262,22 @@ class Model:
             elif here > n and here >= WORD_COUNT and gain < 3 * PIECE_GAIN:
                 continue
             if gain > max(best[0], PIECE_GAIN):
-                best = (gain, o)
+                best = (gain, o.replace(MARK, ""), encodings)
         return best
 
     def restore(self, text: str) -> tuple[float, str]:
         """(gain, restored text); gain 0 and the text itself if nothing is garbled."""
         if text.isascii():
             return 0.0, text
-        gains, repaired = 0.0, {}
-        for p in dict.fromkeys(q for piece in pieces(text) for q in spans(piece) if not q.isascii()):
-            gain, o = self.judge(p)
+        gains, repaired, changed, ways = 0.0, {}, set(), Counter()
+        parts = dict.fromkeys(q for piece in pieces(text) for q in spans(piece) if not q.isascii())
+        for p in parts:
+            gain, o, encodings = self.judge(p)
             rounds = 1
             while gain and o != p and rounds < ROUNDS and not o.isascii():
                 more, again = 0.0, ""
                 for q in spans(o):
-                    g, x = (0.0, q) if q.isascii() else self.judge(q)
+                    g, x = (0.0, q) if q.isascii() else self.judge(q)[:2]
                     more, again = more + g, again + x
                 if not more or "".join(spans(o)) != o:
                     break
@@ -279,10 +285,23 @@ class Model:
             if gain:
                 gains += gain
                 repaired[p] = o
+                if encodings:
+                    ways[encodings] += gain
+                    changed.add(p)
         if gains < DOCUMENT_GAIN:
             return 0.0, text
+        if ways:
+            # Pieces too short to tell go the way of the others.
+            (wrong, right), _ = ways.most_common(1)[0]
+            for p in parts:
+                if len(p) <= 3 and (p in changed or p not in repaired):
+                    repaired.pop(p, None)
+                    if all(c <= "\x7f" or c in TO_BYTE[wrong] for c in p):
+                        o = "".join(c if c <= "\x7f" else FROM_BYTE[right][TO_BYTE[wrong][c]] for c in p)
+                        if self.words.get(word(o), 0) >= WORD_COUNT and not _UNUSUAL.search(o):
+                            repaired[p] = o
         for p in sorted(repaired, key=len, reverse=True):
-            text = text.replace(p, repaired[p])
+            text = re.sub(rf"(?<!\S){re.escape(p)}(?!\S)", repaired[p].replace("\\", r"\\"), text) if len(p) <= 3 else text.replace(p, repaired[p])
         return gains, text
 
 
@@ -291,7 +310,10 @@ _UNUSUAL = re.compile("[\x00-\x1f\x7f-\x9f\ue000-\uf8ff\ufffd]")
 
 
 def spans(piece: str) -> list[str]:
-    """A long piece in parts, so that a garbled stretch is judged apart from its sound neighbours."""
+    """A long piece in parts, so that a garbled stretch is judged apart from its sound neighbours; a garbled byte order mark is a part of its own."""
+    for mark in MARKS:
+        if piece.startswith(mark) and piece != mark:
+            return [mark, *spans(piece[len(mark) :])]
     if len(piece) <= WORD_LENGTH:
         return [piece]
     out, at = [], 0
