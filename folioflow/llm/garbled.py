@@ -300,8 +300,9 @@ class Model:
                         o = "".join(c if c <= "\x7f" else FROM_BYTE[right][TO_BYTE[wrong][c]] for c in p)
                         if self.words.get(word(o), 0) >= WORD_COUNT and not _UNUSUAL.search(o):
                             repaired[p] = o
+                            changed.add(p)
         for p in sorted(repaired, key=len, reverse=True):
-            text = re.sub(rf"(?<!\S){re.escape(p)}(?!\S)", repaired[p].replace("\\", r"\\"), text) if len(p) <= 3 else text.replace(p, repaired[p])
+            text = re.sub(rf"(?<!\S){re.escape(p)}(?!\S)", repaired[p].replace("\\", r"\\"), text) if len(p) <= 3 and p in changed else text.replace(p, repaired[p])
         return gains, text
 
 
