@@ -302,7 +302,7 @@ class Model:
                             repaired[p] = o
                             changed.add(p)
         for p in sorted(repaired, key=len, reverse=True):
-            text = re.sub(rf"(?<!\S){re.escape(p)}(?!\S)", repaired[p].replace("\\", r"\\"), text) if len(p) <= 3 and p in changed else text.replace(p, repaired[p])
+            text = re.sub(rf"(?<!\S){re.escape(p)}(?!\S)", repaired[p].replace("\\", r"\\"), text) if len(p) <= 3 and (p in changed or set(p) == {LOST}) else text.replace(p, repaired[p])
         return gains, text
 
 
