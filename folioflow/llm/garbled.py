@@ -223,6 +223,17 @@ class Model:
                 return None
         return self.decode(list(data), encoding)
 
+    def fill(self, piece: str, least: int = 1) -> str | None:
+        """A piece with its lost bytes, be they marks or question marks, filled in by the most frequent word that has letters beyond ASCII there."""
+        for core in (piece.strip(_WORD_EDGE), piece.strip(_WORD_EDGE.replace("?", ""))):
+            n, w = self.by_gaps.get(core.lower().replace("?", LOST), (0, ""))
+            if n >= least and len(w) == len(core):
+                filled = "".join(y if x in (LOST, "?") else x for x, y in zip(core, w, strict=True))
+                if core[0] in (LOST, "?") and self.log.get(" " + w[0].upper(), self.floor) > self.log.get(" " + w[0], self.floor):
+                    filled = filled[0].upper() + filled[1:]
+                return piece.replace(core, filled, 1)
+        return None
+
     def _judge(self, piece: str, rounds: int = ROUNDS) -> tuple[float, str, tuple[str, str] | None]:
         """(gain, original, encodings) of a piece: how much more probable its best original is; 0 and the piece itself if it is sound."""
         if LOST not in piece and max(piece) >= "⺀":
@@ -233,14 +244,10 @@ class Model:
                 return 0.0, piece, None
         here = self.words.get(word(piece), 0) if len(piece) <= WORD_LENGTH else 0
         if LOST in piece:
-            n, w = self.by_gaps.get(word(piece), (0, ""))
+            filled = self.fill(piece)
+            if filled is not None:
+                return 2 * DOCUMENT_GAIN, filled, None
             best = max(((self.score(o) - self.score(piece), o) for k, o, _ in self.originals(piece) if k == "u"), default=(0.0, piece))
-            if n and len(w) == len(word(piece)):
-                at = piece.lower().find(word(piece))
-                filled = "".join(y if x == LOST else x for x, y in zip(piece[at : at + len(w)], w, strict=True))
-                if piece[at:at + 1] == LOST:
-                    filled = filled[:1].upper() + filled[1:] if piece[at + 1 : at + 2].isupper() else filled
-                return 2 * DOCUMENT_GAIN, piece[:at] + filled + piece[at + len(w) :], None
             return 2 * DOCUMENT_GAIN, best[1], None
         two = pairs(piece)
         before = self.score(piece)
@@ -267,7 +274,8 @@ class Model:
 
     def restore(self, text: str) -> tuple[float, str]:
         """(gain, restored text); gain 0 and the text itself if nothing is garbled."""
-        if text.isascii():
+        asked = [p for p in text.split() if _ASKED.search(p) and LOST not in p] if "?" in text else []
+        if text.isascii() and not asked:
             return 0.0, text
         gains, repaired, changed, ways = 0.0, {}, set(), Counter()
         parts = dict.fromkeys(q for piece in pieces(text) for q in spans(piece) if not q.isascii())
@@ -288,6 +296,11 @@ class Model:
                 if encodings:
                     ways[encodings] += gain
                     changed.add(p)
+        for p in asked:
+            # Bytes lost to question marks leave no other trace than a word that is known.
+            if p.isascii() and (o := self.fill(p, WORD_COUNT)) is not None:
+                gains += 2 * DOCUMENT_GAIN
+                repaired[p] = o
         if gains < DOCUMENT_GAIN:
             return 0.0, text
         if ways:
@@ -306,6 +319,8 @@ class Model:
         return gains, text
 
 
+#: A question mark before a letter.
+_ASKED = re.compile(r"\?[^\W\d_]")
 #: Characters no original has: controls and the private area.
 _UNUSUAL = re.compile("[\x00-\x1f\x7f-\x9f\ue000-\uf8ff\ufffd]")
 
