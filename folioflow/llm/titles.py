@@ -179,8 +179,10 @@ _ROWS = "key bigint, words string, view string, start int, size int"
 
 def candidates(evaluation: DataFrame, training: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs ``(e, t)`` of different strings that agree on a segment and are within the characters that may differ."""
-    e = cut(evaluation.mapInPandas(_emit("evaluation"), _ROWS))
-    t = training.mapInPandas(_emit("training"), _ROWS)
+    # Cutting up is work for Python: the few rows of a small table must not lie in one or two tasks.
+    tasks = int(evaluation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = cut(evaluation.repartition(tasks, "words").mapInPandas(_emit("evaluation"), _ROWS))
+    t = training.repartition(tasks, "words").mapInPandas(_emit("training"), _ROWS)
     many = e.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= hot).select("key")
     near = (F.col("e") != F.col("t")) & (F.levenshtein("e", "t", K_CHARACTERS) >= 0)
     cold = e.join(many, "key", "left_anti").select("key", F.col("words").alias("e")).join(t.select("key", F.col("words").alias("t")), "key").filter(near)
