@@ -26,10 +26,8 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     for b, n in counts:
         offsets.append((b, before))
         before += n
-    if not offsets:
-        return placed.drop("_id").withColumn(name, F.lit(None).cast("bigint"))
-    starts = F.create_map(*[F.lit(x).cast("bigint") for pair in offsets for x in pair])
-    return placed.withColumn(name, F.element_at(starts, block) + place + 1).drop("_id")
+    starts = spark.createDataFrame(offsets, "_block bigint, _before bigint")
+    return placed.withColumn("_block", block).join(F.broadcast(starts), "_block").withColumn(name, F.col("_before") + place + 1).select(*df.columns, name)
 
 
 def running_totals(df: DataFrame, value: str, sums: list[str], descending: bool = False, partitions: int | None = None) -> DataFrame:
