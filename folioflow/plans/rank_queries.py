@@ -313,6 +313,29 @@ def m19(spark, folder):
     return _rounded(fusion.order_agreement(one, two, "batch", "item", "rank"), "share")
 
 
+@_query("m20_position_bias", f"SELECT count(*) AS pairs, count_if(sign(x.r1 - y.r1) = sign(x.item - y.item)) AS same, round(avg((sign(x.r1 - y.r1) = sign(x.item - y.item))::INTEGER), 6) AS share FROM {_BATCHED} x JOIN {_BATCHED} y ON x.b = y.b AND x.item < y.item")
+def m20(spark, folder):
+    """How far the order that comes out of a batch follows the order that went in."""
+    one, _ = _rankings(spark, folder)
+    given = one.select("batch", "item", F.col("item").alias("rank"))
+    return _rounded(fusion.order_agreement(one, given, "batch", "item", "rank"), "share")
+
+
+@_query("u09_tagged_union", f"SELECT b AS batch, item, r1 AS rank, 'original' AS orientation FROM {_BATCHED} UNION ALL SELECT b, item, r2, 'reversed' FROM {_BATCHED}")
+def u09(spark, folder):
+    """Two runs as one relation with their name."""
+    one, two = _rankings(spark, folder)
+    return one.withColumn("orientation", F.lit("original")).unionByName(two.withColumn("orientation", F.lit("reversed")))
+
+
+@_query("j24_positional_zip", "SELECT item_id, doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM heldout_items) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) USING (n)")
+def j24(spark, folder):
+    """Two tables row by row in the order of their keys."""
+    a = ranks.global_row_number(table(spark, folder, "heldout_items").select("item_id"), [F.col("item_id")], "n")
+    b = ranks.global_row_number(table(spark, folder, "documents").select("doc_id"), [F.col("doc_id")], "n")
+    return a.join(b, "n").select("item_id", "doc_id")
+
+
 # ---- calibration ----
 
 
