@@ -1,14 +1,15 @@
 """Problem 6: same or near-same records across splits.
 
 A segment join under edit distance (after Li, Deng, Wang and Feng, "Pass-Join", 2011).
-A title is a sequence of symbols: its content words, or its characters where it has
-few words. A string of the evaluation splits is cut into k+1 segments; k edits leave
-one of them intact, which then stands in the training string at one of few positions,
-given by the edits possible before and after it. Strings that meet on a segment are
-verified by banded dynamic programming over the characters and then word by word.
+A title is compared by its characters without blanks, so that joined words are equal.
+A string of the training split is cut into k+1 segments, k being the slips that the
+verification accepts; k edits leave one of them intact, which then stands in the
+evaluation string at one of few positions, given by the edits possible before and
+after it. Strings that meet on a segment are verified by banded dynamic programming
+over the characters and then word by word.
 
 Equal strings are one class, however many records bear them. A segment that many
-evaluation strings share is not joined as it is: within it, what is left of both
+training strings share is not joined as it is: within it, what is left of both
 strings is cut again, so that a pair must agree on a second segment too.
 """
 
@@ -17,7 +18,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -30,11 +32,10 @@ from folioflow.llm.splits import submissions
 from folioflow.plans.lineage import cut
 from folioflow.sources.tables import pruned_table
 
-#: Edits between two titles, in symbols; characters that the first verification lets differ; slips in the second.
-K, K_CHARACTERS, K_SLIPS = 3, 10, 4
-#: Titles of at most so many words are joined by characters.
-SHORT_WORDS = 4
-#: Evaluation strings on one segment from which it is cut once more.
+#: Slips between two titles; characters that may differ by them, a swap of neighbours being two.
+K_SLIPS = 4
+K_CHARACTERS = 2 * K_SLIPS
+#: Training strings on one segment from which it is cut once more.
 HOT = 32
 
 # Little words, which a title may gain or lose.
@@ -55,6 +56,7 @@ _CJK = "\u3400-\u9fff\uf900-\ufaff"
 _TOKEN = re.compile(f"[a-z]+|[0-9]+|[{_CJK}]+|[^\\W_]+")
 _BRACKET = re.compile(r"[\(\[{【〔〈]([^()\[\]{}【】〔〕〈〉]{1,60})[\)\]}】〕〉]")
 _ROMAN = re.compile("[ivxlcdm]+")
+_LATIN = re.compile("[A-Za-z]+")
 
 
 def _status(words: list[str]) -> bool:
@@ -115,81 +117,101 @@ def places(i: int, start: int, size: int, n: int, m: int, k: int) -> range:
     return range(max(0, start - i, start + d - (k - i)), min(m - size, start + i, start + d + (k - i)) + 1)
 
 
+def spaced(n: int, k: int) -> list[tuple[int, int]]:
+    """Start and length of k+1 segments of n symbols with a symbol between each two: a swap of neighbours spoils only one."""
+    return [(at + i, size) for i, (at, size) in enumerate(cuts(n - k, k))]
+
+
 def _h(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - 2**63
 
 
-def _segments(symbols: list[str], what: str, k: int) -> list[tuple[int, int, int]]:
-    """(key, start, size) of the segments of an evaluation string."""
-    n = len(symbols)
-    if n <= k:
+def _segments(text: str, what: str, k: int) -> list[tuple[int, int, int]]:
+    """(key, start, size) of the segments of a training string."""
+    n = len(text)
+    if n <= 2 * k:
         return [(_h(what, "all"), 0, 0)]
-    return [(_h(what, n, i, *symbols[s : s + z]), s, z) for i, (s, z) in enumerate(cuts(n, k))]
+    return [(_h(what, n, i, text[s : s + z]), s, z) for i, (s, z) in enumerate(spaced(n, k))]
+
 
+def _substrings(text: str, what: str, k: int) -> list[tuple[int, int, int]]:
+    """(key, start, size) of all substrings of an evaluation string that may equal a segment."""
+    m = len(text)
+    out = [(_h(what, "all"), 0, 0)] if m <= 3 * k else []
+    for n in range(max(2 * k + 1, m - k), m + k + 1):
+        for i, (s, z) in enumerate(spaced(n, k)):
+            out += [(_h(what, n, i, text[q : q + z]), q, z) for q in places(i, s, z, n, m, k)]
+    return out
 
-def _substrings(symbols: list[str], what: str, k: int) -> list[tuple[int, int, int]]:
-    """(key, start, size) of all substrings of a training string that may equal a segment."""
-    m, out = len(symbols), {}
-    if m <= 2 * k:
-        out[_h(what, "all")] = (0, 0)
-    for n in range(max(k + 1, m - k), m + k + 1):
-        for i, (s, z) in enumerate(cuts(n, k)):
-            for q in places(i, s, z, n, m, k):
-                out.setdefault(_h(what, n, i, *symbols[q : q + z]), (q, z))
-    return [(key, q, z) for key, (q, z) in out.items()]
 
+def texts(words: str) -> list[str]:
+    """A title without blanks, once for each choice of words that slips() may leave out.
 
-def _views(words: list[str]) -> Iterator[tuple[str, list[str]]]:
-    if len(words) <= SHORT_WORDS:
-        yield "c", list("".join(words))
-    if len(words) > K:
-        yield "w", words
+    Of two titles that slips() accepts, two texts are within K_SLIPS edits: joined
+    words are equal there. ``title_words`` leaves no little words but in titles of nothing else.
+    """
+    made = {"": 0}
+    for w in words.split(" "):
+        longer = {text + w: cost for text, cost in made.items()}
+        if (n := _little(w)) is not None:
+            for text, cost in made.items():
+                if cost + n <= K_SLIPS:
+                    longer[text] = min(cost + n, longer.get(text, K_SLIPS))
+        made = longer
+    return list(made)
+
+
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(w, x) for w in b["words"] for x in texts(w)], columns=["words", "text"])
 
 
-def _emit(kind: str):
-    """A mapInPandas step from (words) to (key, words, view, start, size)."""
-    cut_up = _segments if kind == "evaluation" else _substrings
+def _emit(cut_up: Callable[[str, str, int], list[tuple[int, int, int]]]):
+    """A mapInPandas step from (text) to (key, text, start, size)."""
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(key, w, v, s, z) for w in b["words"] for v, symbols in _views(w.split(" ")) if len(symbols) > K for key, s, z in cut_up(symbols, v, K)]
-            yield pd.DataFrame(rows, columns=["key", "words", "view", "start", "size"])
+            for at in range(0, len(b), _ROWS_AT_ONCE):
+                # No slip touches what is not a letter from a to z: it is part of the key.
+                rows = [(key, x, s, z) for x in b["text"][at : at + _ROWS_AT_ONCE] for key, s, z in cut_up(x, _LATIN.sub("", x), K_SLIPS)]
+                yield pd.DataFrame(rows, columns=["key", "text", "start", "size"])
 
     return step
 
 
-def _emit_again(kind: str):
+def _emit_again(cut_up: Callable[[str, str, int], list[tuple[int, int, int]]]):
     """Second cut within a hot segment: what is left of the string, under the key of the first."""
-    cut_up = _segments if kind == "evaluation" else _substrings
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for key, w, v, s, z in b.itertuples(index=False):
-                symbols = w.split(" ") if v == "w" else list(w.replace(" ", ""))
-                rest = symbols[:s] + symbols[s + z :]
-                rows += [(again, w) for again, _, _ in cut_up(rest, f"{key}", K)]
-            yield pd.DataFrame(rows, columns=["key", "words"])
+            for at in range(0, len(b), _ROWS_AT_ONCE):
+                part = b[at : at + _ROWS_AT_ONCE]
+                rows = [(again, x) for key, x, s, z in part.itertuples(index=False) for again, _, _ in cut_up(x[:s] + x[s + z :], f"{key}", K_SLIPS)]
+                yield pd.DataFrame(rows, columns=["key", "text"])
 
     return step
 
 
-_ROWS = "key bigint, words string, view string, start int, size int"
+_ROWS = "key bigint, text string, start int, size int"
+_ROWS_AT_ONCE = 1000
 
 
 def candidates(evaluation: DataFrame, training: DataFrame, hot: int = HOT) -> DataFrame:
-    """Pairs ``(e, t)`` of different strings that agree on a segment and are within the characters that may differ."""
+    """Pairs ``(e, t)`` of different strings of which two texts agree on a segment and are within the characters that may differ."""
     # Cutting up is work for Python: the few rows of a small table must not lie in one or two tasks.
     tasks = int(evaluation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = cut(evaluation.repartition(tasks, "words").mapInPandas(_emit("evaluation"), _ROWS))
-    t = training.repartition(tasks, "words").mapInPandas(_emit("training"), _ROWS)
-    many = e.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= hot).select("key")
-    near = (F.col("e") != F.col("t")) & (F.levenshtein("e", "t", K_CHARACTERS) >= 0)
-    cold = e.join(many, "key", "left_anti").select("key", F.col("words").alias("e")).join(t.select("key", F.col("words").alias("t")), "key").filter(near)
-    e2 = e.join(many, "key", "left_semi").select("key", "words", "view", "start", "size").mapInPandas(_emit_again("evaluation"), "key bigint, words string")
-    t2 = t.join(many, "key", "left_semi").select("key", "words", "view", "start", "size").mapInPandas(_emit_again("training"), "key bigint, words string")
-    cut_twice = e2.select("key", F.col("words").alias("e")).join(t2.select("key", F.col("words").alias("t")), "key").filter(near)
-    return cold.select("e", "t").unionByName(cut_twice.select("e", "t")).distinct()
+    of_e, of_t = (cut(x.select("words").repartition(tasks, "words").mapInPandas(_texts, "words string, text string")) for x in (evaluation, training))
+    t = cut(of_t.select("text").repartition(tasks, "text").distinct().mapInPandas(_emit(_segments), _ROWS))
+    e = of_e.select("text").repartition(tasks, "text").distinct().mapInPandas(_emit(_substrings), _ROWS)
+    many = t.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= hot).select("key")
+    near = F.levenshtein("te", "tt", K_CHARACTERS) >= 0
+    cold = t.join(many, "key", "left_anti").select("key", F.col("text").alias("tt")).join(e.select("key", F.col("text").alias("te")), "key").filter(near)
+    t2 = t.join(many, "key", "left_semi").select("key", "text", "start", "size").mapInPandas(_emit_again(_segments), "key bigint, text string")
+    e2 = e.join(many, "key", "left_semi").select("key", "text", "start", "size").mapInPandas(_emit_again(_substrings), "key bigint, text string")
+    cut_twice = t2.select("key", F.col("text").alias("tt")).join(e2.select("key", F.col("text").alias("te")), "key").filter(near)
+    pairs = cold.select("te", "tt").unionByName(cut_twice.select("te", "tt")).distinct()
+    named = pairs.join(of_e.select(F.col("words").alias("e"), F.col("text").alias("te")), "te").join(of_t.select(F.col("words").alias("t"), F.col("text").alias("tt")), "tt")
+    return named.select("e", "t").filter("e <> t").distinct()
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -220,6 +242,7 @@ def slip(a: str, b: str) -> int | None:
     return n if n <= most else None
 
 
+@lru_cache(100_000)
 def _little(w: str) -> int | None:
     if w in LITTLE:
         return 0

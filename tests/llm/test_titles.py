@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm.titles import cuts, near_titles, places, slips, title_words
+from folioflow.llm.titles import K_SLIPS, candidates, cuts, edits, near_titles, places, slips, spaced, title_words
 
 
 @pytest.mark.parametrize(
@@ -84,3 +85,53 @@ def test_join_against_all_pairs(spark, hot):
 def test_no_titles(spark):
     assert near_titles(spark.createDataFrame([], "words string, evaluation boolean, training boolean")).count() == 0
     assert near_titles(spark.createDataFrame([("a", True, True)], "words string, evaluation boolean, training boolean").withColumn("key", F.lit(1))).count() == 0
+
+
+def _misspelled(w, r):
+    """A word with one slip: a letter too many, too few, another or swapped with the next."""
+    while True:
+        i = r.randrange(len(w) - 1)
+        x = w[:i] + r.choice([w[i + 1], "q" + w[i:], "q" + w[i + 1 :], w[i + 1] + w[i] + w[i + 2 :]])
+        x = x if len(x) > 2 else w
+        if x != w and edits(x, w, 1) == 1:
+            return x
+
+
+def test_a_spaced_segment_survives_swaps():
+    r = random.Random(8)
+    for _ in range(1000):
+        n, k = r.randrange(9, 40), 4
+        a = [r.choice("abc") for _ in range(n)]
+        b = list(a)
+        for i in sorted(r.sample(range(0, n - 1, 2), k), reverse=True):
+            b[i : i + 2] = r.choice([[b[i + 1], b[i]], b[i : i + 1], ["z", *b[i : i + 2]], ["z", b[i + 1]]])
+        assert any(b[q : q + z] == a[s : s + z] for i, (s, z) in enumerate(spaced(n, k)) for q in places(i, s, z, n, len(b), k))
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_all_that_slips_accepts_is_compared(spark, hot):
+    """Four slips at all places, joined words and slipped little words, against brute force."""
+    r = random.Random(11)
+    base = "monotone pricing benchmark selfish supervised multimodal grounding 3d".split()
+    made = set()
+    for where in itertools.combinations(range(len(base) - 1), K_SLIPS):
+        made.add(" ".join(_misspelled(w, r) if i in where else w for i, w in enumerate(base)))
+    for joins in itertools.product([" ", ""], repeat=len(base) - 1):
+        made.add("".join(w + x for w, x in zip(base, [*joins, ""], strict=True)))
+    for where in itertools.combinations(range(len(base) + 1), 3):
+        made.add(" ".join(w for i in range(len(base) + 1) for w in (["wiht"] if i in where else []) + base[i : i + 1]))
+    made |= {"diffusion", "difusion", "ab ab abab", "ababab ab", "校准摘要", "校准 摘要", "校准模型"}
+    titles = sorted(made)
+    of = lambda some: spark.createDataFrame([(t,) for t in some], "words string")
+    got = {(x.e, x.t) for x in candidates(of(titles[::2]), of(titles[1::2]), hot).collect()}
+    wanted = {(e, t) for e in titles[::2] for t in titles[1::2] if slips(e, t) is not None}
+    assert wanted and not wanted - got
+
+
+def test_four_slips_and_joined_words_are_found(spark):
+    pairs = [
+        ("towards monosone prricing runirfi becnhmark", "towards monotone pricing runtirfi benchmark"),
+        ("learning selfsupervised multimodal graphneural representations bases", "learning self supervised multimodal graph neural representations bases"),
+    ]
+    df = spark.createDataFrame([(e, True, False) for e, _ in pairs] + [(t, False, True) for _, t in pairs], "words string, evaluation boolean, training boolean")
+    assert {(x.e, x.t) for x in near_titles(df).collect()} == set(pairs)
