@@ -135,3 +135,8 @@ def test_four_slips_and_joined_words_are_found(spark):
     ]
     df = spark.createDataFrame([(e, True, False) for e, _ in pairs] + [(t, False, True) for _, t in pairs], "words string, evaluation boolean, training boolean")
     assert {(x.e, x.t) for x in near_titles(df).collect()} == set(pairs)
+
+
+def test_titles_of_three_letters_and_fewer(spark):
+    df = spark.createDataFrame([("gans", True, False), ("vit", True, False), ("gan", False, True), ("vits", False, True), ("ab", False, True)], "words string, evaluation boolean, training boolean")
+    assert {(x.e, x.t) for x in near_titles(df).collect()} == {("gans", "gan"), ("vit", "vits")}
