@@ -508,9 +508,10 @@ def t02(spark, folder):
 
 @_query("t06_abstract", "SELECT paper_id, substring(trim(regexp_replace(regexp_extract(markdown.content || chr(10) || '# ', '(?ims)^#{1,4}[ ]*Abstract[^\\n]*\\n(.*?)\\n#{1,4}[ ]', 1), '[[:space:]]+', ' ', 'g')), 1, 1024) AS abstract FROM proreview WHERE markdown.content IS NOT NULL")
 def t06(spark, folder):
-    """The text under the heading of the abstract."""
+    """The text under the heading of the abstract, or the whole text where there is no such heading."""
     t = table(spark, folder, "proreview").filter("markdown.content is not null")
-    body = F.regexp_extract(F.concat("markdown.content", F.lit("\n# ")), r"(?ims)^#{1,4}[ ]*Abstract[^\n]*\n(.*?)\n#{1,4}[ ]", 1)
+    content, pattern = F.concat("markdown.content", F.lit("\n# ")), r"(?ims)^#{1,4}[ ]*Abstract[^\n]*\n(.*?)\n#{1,4}[ ]"
+    body = F.when(content.rlike(pattern), F.regexp_extract(content, pattern, 1)).otherwise(F.col("markdown.content"))
     return t.select("paper_id", F.substring(F.trim(F.regexp_replace(body, r"\s+", " ")), 1, 1024).alias("abstract"))
 
 

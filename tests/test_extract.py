@@ -1,5 +1,6 @@
 from folioflow.operators.extract import chosen_sentences, evidence_fields, segments
 from folioflow.operators.ranks import group_row_number, tile
+from folioflow.plans import registry
 from pyspark.sql import functions as F
 
 MARKDOWN = """Title page, which counts for nothing at all here.
@@ -59,3 +60,10 @@ def test_tiles(spark):
         t = spark.range(1, n + 1).select("id", tile(F.col("id"), F.lit(n), 3).alias("t"))
         want = spark.sql(f"select id, ntile(3) over (order by id) as t from range(1, {n + 1})")
         assert sorted(map(tuple, t.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_abstract_or_the_whole_text(spark, tmp_path):
+    texts = {"a": "# Title\n## Abstract\nshort  text\nof it\n# Intro\nrest", "b": "no heading\n\n of  that kind ", "c": "# Abstract\n", "d": "x" * 2000, "e": "", "f": None}
+    spark.createDataFrame([(k, (v,)) for k, v in texts.items()], "paper_id string, markdown struct<content: string>").write.parquet(f"{tmp_path}/proreview.parquet")
+    got = {r.paper_id: r.abstract for r in registry.queries()["t06_abstract"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "short text of it", "b": "no heading of that kind", "c": "", "d": "x" * 1024, "e": ""}
