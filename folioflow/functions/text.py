@@ -62,9 +62,10 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def clean_text(c: Column, most: int = 200_000) -> Column:
-    """No carriage returns, no blanks at line ends, at most one empty line in a row, cut to ``most`` characters."""
-    return F.substring(_sub(c, (r"\r", ""), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")), 1, most)
+def clean_text(c: Column, most: int | None = 200_000) -> Column:
+    """No carriage returns, no blanks at line ends, at most one empty line in a row, cut to ``most`` characters, if given."""
+    clean = _sub(c, (r"\r", ""), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+    return clean if most is None else F.substring(clean, 1, most)
 
 
 def document_text(c: Column) -> Column:

@@ -35,7 +35,7 @@ _CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
 
 
 def _cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", F.sha2(text.clean_text(F.col("text")), 256).alias("digest"))
+    return table(spark, folder, "documents").filter("text is not null").select("doc_id", F.sha2(text.clean_text(F.col("text"), None), 256).alias("digest"))
 
 
 @_query("d01_exact_groups", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({_CLEAN_SQL})) AS \"group\", count(*) OVER (PARTITION BY sha256({_CLEAN_SQL})) AS size FROM documents WHERE text IS NOT NULL")

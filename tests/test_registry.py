@@ -38,3 +38,12 @@ def test_core_query_runs(spark, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_documents_that_differ_late_are_no_duplicates(spark, tmp_path):
+    start = "a long text " * 17_000
+    rows = [(1, start + "one", "x"), (2, start + "two", "x"), (3, start + "one\n", "x"), (4, "short", "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, doc_kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.group, r["size"]) for r in registry.queries()["d01_exact_groups"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
+    assert sum(r.groups for r in registry.queries()["d06_leak_free_split"](spark, str(tmp_path)).collect()) == 3
