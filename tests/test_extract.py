@@ -67,3 +67,11 @@ def test_abstract_or_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(k, (v,)) for k, v in texts.items()], "paper_id string, markdown struct<content: string>").write.parquet(f"{tmp_path}/proreview.parquet")
     got = {r.paper_id: r.abstract for r in registry.queries()["t06_abstract"](spark, str(tmp_path)).collect()}
     assert got == {"a": "short text of it", "b": "no heading of that kind", "c": "", "d": "x" * 1024, "e": ""}
+
+
+def test_long_texts_and_blocks_are_kept_whole(spark):
+    long = "word " * 5_000 + "end"
+    df = spark.createDataFrame([(1, "\n\n".join([long] * 9 + ["last"]))], "id int, text string")
+    assert [r.text for r in segments(df, "id", "text").orderBy("paragraph_id").collect()] == [long] * 9 + ["last"]
+    cut = segments(df, "id", "text", 200_000, 20_000).orderBy("paragraph_id").collect()
+    assert len(cut) == 8 and max(len(r.text) for r in cut) == 20_000
