@@ -80,6 +80,9 @@ class Index:
             for t in x:
                 self.number.setdefault(t, len(self.number) + 1)
         self.is_chinese = np.array([False, *map(_chinese, self.number)], bool)
+        v = len(self.number) + 1
+        # Four numbers fit into one key while there are few tokens; else it is made of the numbers of pairs.
+        self.pairs = None if v**4 < 2**63 else np.unique(np.concatenate([self._pairs(self._numbers([x])) for x in self.tokens]))
         keys = [self._keys(self._numbers([x]))[: len(x)] for x in self.tokens]
         self.keys = np.unique(np.concatenate([np.zeros(0, np.int64), *[k[k >= 0] for k in keys]]))
         v = len(self.keys)
@@ -129,6 +132,10 @@ class Index:
             flat += (0, 0, 0)
         return np.array(flat, dtype=np.int64)
 
+    def _pairs(self, numbers: np.ndarray) -> np.ndarray:
+        """The key of each token with the one after it."""
+        return numbers * (len(self.number) + 1) + np.append(numbers[1:], 0)
+
     def _keys(self, numbers: np.ndarray) -> np.ndarray:
         """The key of the term that begins at each token, -1 where a token of it is no item's.
 
@@ -139,8 +146,14 @@ class Index:
         w = np.concatenate([numbers, np.zeros(3, np.int64)])
         a, b, c, d = w[:-3], w[1:-2], w[2:-1], w[3:]
         chinese = self.is_chinese[a]
-        key = ((a * v + b) * v + c) * v + np.where(chinese, d, 0)
-        return np.where((a > 0) & (b > 0) & (c > 0) & (~chinese | (d > 0)), key, -1)
+        known = (a > 0) & (b > 0) & (c > 0) & (~chinese | (d > 0))
+        if self.pairs is None:
+            return np.where(known, ((a * v + b) * v + c) * v + np.where(chinese, d, 0), -1)
+        pair = self._pairs(w)
+        number = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        number = np.where(self.pairs[number] == pair, number, -1)
+        first, last = number[:-3], np.where(chinese, number[2:-1], c)
+        return np.where(known & (first >= 0) & (last >= 0), first * max(v, len(self.pairs)) + last, -1)
 
     def _terms(self, keys: np.ndarray) -> np.ndarray:
         """The numbers of the terms; that of none is the number of terms."""

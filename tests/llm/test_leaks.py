@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -93,3 +94,19 @@ def test_nothing(spark):
 def test_tokens():
     assert tokens("A <b>label-\nfree</b> *test* of 8.95% ｗｏｒｄｓ") == ["a", "labelfree", "test", "of", "895", "words"]
     assert tokens("") == []
+
+
+def test_terms_of_many_different_words():
+    """More different words than four of their numbers fit into one key of 64 bits."""
+    letters = "bcdfghjklmnprstvwxyz"
+    words = ["".join(x) for x in itertools.product(letters, "aeiou", letters, "aeiou", letters[:8])]
+    things = [(j, " ".join(words[j * 16_000 : (j + 1) * 16_000])) for j in range(5)] + [(9, CHARACTERS)]
+    few, many = Index([(9, CHARACTERS)]), Index(things)
+    assert len(many.number) > 56_000 and few.pairs is None and many.pairs is not None
+    # No word stands twice, so that every term is another.
+    assert len(many.keys) == sum(len(x) - 2 for x in many.tokens[:5]) + len(many.tokens[5]) - 3
+    for j, x in enumerate(many.tokens):
+        assert (many._terms(many._keys(many._numbers([x])))[: len(x) - 3] < len(many.keys)).all(), j
+    # Pairs that are known, but not one after the other.
+    a, b = many.tokens[0][:2], many.tokens[3][:1]
+    assert (many._terms(many._keys(many._numbers([a + b]))) == len(many.keys)).all()
