@@ -41,6 +41,6 @@ class Joined:
             return self.entries.join(F.broadcast(vector), self.key)
         if self.hot is None:
             return self.entries.join(vector, self.key)
-        salts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-        spread = vector.join(F.broadcast(self.hot), self.key, "left").withColumn("_salt", salts.cast("bigint")).drop("_parts")
-        return self.entries.join(spread.withColumn("_salt", F.col("_salt").cast(self.entries.schema["_salt"].dataType)), [self.key, "_salt"]).drop("_salt")
+        salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1)
+        spread = vector.join(F.broadcast(self.hot), self.key, "left").withColumn("_salt", F.explode(salts)).drop("_parts")
+        return self.entries.join(spread, [self.key, "_salt"]).drop("_salt")
