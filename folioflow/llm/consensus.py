@@ -1,12 +1,15 @@
 """Problem 5: consensus from several annotators' labels.
 
 Spectral reliability (after Ghosh, Kale and McAfee, 2011, and Dalvi et al., 2013).
-Ratings are centred by each annotator's own mean, which takes out agreement by chance
-and strictness. The agreement of two annotators is the sum of the products of their
-centred ratings over shared items; the leading eigenvector of that matrix, its
-diagonal left out and each row divided by the annotator's overlaps, is the
-reliability. The matrix is never made: a power step sums per item, then per
-annotator, joined to the ratings, so that no two annotators are paired.
+Ratings are centred by each annotator's own mean and divided by the own spread, which
+takes out agreement by chance and strictness. The agreement of two annotators is the
+sum of the products of their centred ratings over shared items; the leading
+eigenvector of that matrix, its diagonal left out and each row divided by the
+annotator's overlaps, is the reliability: how far the ratings rise with those of the
+others, as these can be relied on. (The rows' overlaps are taken, not those of each
+pair: pairs share one or two items, whose means are noise, and an item of many
+annotators would have to be written out in pairs.) The matrix is never made: a power
+step sums per item, then per annotator, joined to the ratings.
 """
 
 from __future__ import annotations
@@ -14,13 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.sparse import Joined
 from folioflow.plans.lineage import cut
 from folioflow.sources.tables import table
 
-#: The power iteration ends when no reliability moves by more than this, or after so many rounds.
-TOLERANCE, ROUNDS = 0.001, 30
-#: Items an annotator must have rated to be judged, and the correlation under which the ratings don't rise with quality.
-LEAST_ITEMS, CUTOFF = 20, 0.5
+#: The power iteration ends when no reliability moves by more than this; labels that take more rounds are an error.
+TOLERANCE, ROUNDS = 1e-6, 1000
+#: Items an annotator must have rated to be judged, and the reliability, as a share of the root mean square, under which the ratings don't rise with quality.
+LEAST_ITEMS, CUTOFF = 20, 0.55
 # The levels of a rating and of a confidence.
 RATINGS, CONFIDENCES = (1, 3, 5, 6, 8, 10), (1, 2, 3, 4, 5)
 
@@ -41,64 +45,56 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spectral_reliability(labels: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """The centred labels ``(item, annotator, rating, mean, z, w)`` and ``(annotator, reliability)``.
+    """The centred labels ``(item, annotator, rating, mean, z, w)`` and ``(annotator, n, reliability)``.
 
     labels: ``item``, ``annotator`` and numeric ``rating``, one row per item and
     annotator; rows with a null are left out. Reliabilities have a root mean square
     of 1 over all labels and a positive sum; ``w`` is the voting weight, the
     reliability or 0. An annotator whose labels are all alike has 0; so has one whose
-    items nobody else labelled. An empty table gives empty results.
+    items nobody else labelled. An empty table gives empty results. The labels meet the
+    vectors by a broadcast of a counted size, else by salted keys, and each sum is
+    combined before the shuffle, so that no annotator and no item is one task.
     """
-    rows = labels.filter("item is not null and annotator is not null and rating is not null").select("item", "annotator", "rating")
-    means = rows.groupBy("annotator").agg(F.avg("rating").alias("mean"))
-    sizes = rows.groupBy("item").agg(F.count("*").alias("others"))
-    by_annotator = cut(rows.join(means, "annotator").join(sizes, "item").select("item", "annotator", "rating", "mean", (F.col("rating") - F.col("mean")).alias("z"), (F.col("others") - 1).alias("others")).repartition("annotator"))
-    by_item = cut(by_annotator.select("item", "annotator", "z").repartition("item"))
-    own = cut(by_annotator.groupBy("annotator").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum("others").alias("overlaps"), F.count("*").alias("n")))
-    v = own.select("annotator", F.lit(1.0).alias("v"))
+    rows = cut(labels.filter("item is not null and annotator is not null and rating is not null").select("item", "annotator", "rating"))
+    own = cut(rows.groupBy("annotator").agg(F.avg("rating").alias("mean"), F.stddev_pop("rating").alias("spread"), F.count("*").alias("n")))
+    sizes = cut(rows.groupBy("item").agg((F.count("*") - 1).alias("others")))
+    annotators, items = own.count(), sizes.count()
+    centred = F.col("rating") - F.col("mean")
+    known = Joined(rows, "annotator", "item", annotators).with_vector(own).select("item", "annotator", "rating", "mean", centred.alias("c"), F.when(F.col("spread") > 1e-9, centred / F.col("spread")).otherwise(0.0).alias("z"))
+    matrix = cut(Joined(cut(known), "item", "annotator", items).with_vector(sizes))
+    own = cut(matrix.groupBy("annotator").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum("others").alias("overlaps"), F.count("*").alias("n")))
+    by_annotator, by_item = Joined(matrix.select("item", "annotator", "z"), "annotator", "item", annotators), Joined(matrix.select("item", "annotator", "z"), "item", "annotator", items)
+    v = own.select("annotator", "n", "zz", "overlaps", F.lit(1.0).alias("v"))
     for _ in range(rounds):
-        per_item = by_annotator.join(v, "annotator").groupBy("item").agg(F.sum(F.col("z") * F.col("v")).alias("s"))
-        back = by_item.join(per_item, "item").groupBy("annotator").agg(F.sum(F.col("z") * F.col("s")).alias("zs"))
-        step = back.join(own, "annotator").join(v, "annotator").select("annotator", "n", "v", ((F.col("zs") - F.col("v") * F.col("zz")) / F.greatest("overlaps", F.lit(1))).alias("raw"))
-        step = cut(step)
+        per_item = by_annotator.with_vector(v.select("annotator", "v")).groupBy("item").agg(F.sum(F.col("z") * F.col("v")).alias("s"))
+        back = by_item.with_vector(per_item).groupBy("annotator").agg(F.sum(F.col("z") * F.col("s")).alias("zs"))
+        step = cut(back.join(v, "annotator").select("annotator", "n", "zz", "overlaps", "v", ((F.col("zs") - F.col("v") * F.col("zz")) / F.greatest("overlaps", F.lit(1))).alias("raw")))
         norm = step.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw") * F.col("n")) / F.sum("n")).alias("length"), F.signum(F.sum(F.col("raw") * F.col("n"))).alias("sign")).first()
         if not norm.length:
-            v = step.select("annotator", F.lit(0.0).alias("v"))
+            v = step.withColumn("v", F.lit(0.0)).drop("raw")
             break
-        scale = norm.length * (norm.sign or 1.0)
-        moved = step.agg(F.max(F.abs(F.col("raw") / F.lit(scale) - F.col("v")))).first()[0]
-        v = step.select("annotator", (F.col("raw") / F.lit(scale)).alias("v"))
+        scaled = F.col("raw") / F.lit(norm.length * (norm.sign or 1.0))
+        moved = step.agg(F.max(F.abs(scaled - F.col("v")))).first()[0]
+        v = step.withColumn("v", scaled).drop("raw")
         if moved < tolerance:
             break
-    weighted = by_annotator.join(v, "annotator").select("item", "annotator", "rating", "mean", "z", F.greatest("v", F.lit(0.0)).alias("w"))
-    return weighted, v.select("annotator", F.col("v").alias("reliability"))
-
-
-def judged(labels: DataFrame) -> DataFrame:
-    """``(annotator, n, reliability, correlation)``: how the centred labels go with the weighted vote of the others.
-
-    The correlation is over the items that somebody else with a positive weight
-    labelled; where either side doesn't vary it is 0.
-    """
-    weighted, reliability = spectral_reliability(labels)
-    votes = weighted.groupBy("item").agg(F.sum(F.col("w") * F.col("z")).alias("s"), F.sum("w").alias("sw"))
-    rest = F.col("sw") - F.col("w")
-    other = F.when(rest > 1e-9, (F.col("s") - F.col("w") * F.col("z")) / rest)
-    seen = weighted.join(votes, "item").select("annotator", "z", other.alias("c"))
-    both = F.when(F.col("c").isNotNull(), F.col("z"))
-    measured = seen.groupBy("annotator").agg(F.count("*").alias("n"), F.stddev_pop(both).alias("sz"), F.stddev_pop("c").alias("sc"), F.covar_pop("z", "c").alias("zc"))
-    correlation = F.when((F.col("sz") > 1e-9) & (F.col("sc") > 1e-9), F.col("zc") / (F.col("sz") * F.col("sc"))).otherwise(0.0)
-    return measured.join(reliability, "annotator").select("annotator", "n", "reliability", correlation.alias("correlation"))
+    else:
+        raise RuntimeError(f"the reliabilities have not settled after {rounds} rounds")
+    weights = v.select("annotator", F.greatest("v", F.lit(0.0)).alias("w"))
+    weighted = Joined(matrix, "annotator", "item", annotators).with_vector(weights).select("item", "annotator", "rating", "mean", F.col("c").alias("z"), "w")
+    return weighted, v.select("annotator", "n", F.col("v").alias("reliability"))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """Reviewers of enough papers whose ratings don't rise with the papers' quality."""
-    return judged(ratings(spark, folder)).filter((F.col("n") >= LEAST_ITEMS) & (F.col("correlation") < CUTOFF)).select(F.col("annotator").alias("reviewer_id"))
+    """Reviewers of enough papers whose ratings don't rise with the papers' quality: the reliability decides."""
+    _, judged = spectral_reliability(ratings(spark, folder))
+    return judged.filter((F.col("n") >= LEAST_ITEMS) & (F.col("reliability") < CUTOFF)).select(F.col("annotator").alias("reviewer_id"))
 
 
 def reviewers(spark: SparkSession, folder: str) -> DataFrame:
-    """Reliability and correlation of every reviewer."""
-    return judged(ratings(spark, folder)).select(F.col("annotator").alias("reviewer_id"), "n", F.round("reliability", 4).alias("reliability"), F.round("correlation", 4).alias("correlation"))
+    """Papers rated and reliability of every reviewer."""
+    _, judged = spectral_reliability(ratings(spark, folder))
+    return judged.select(F.col("annotator").alias("reviewer_id"), "n", F.round("reliability", 4).alias("reliability"))
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
