@@ -71,7 +71,7 @@ def test_a_long_path_and_an_empty_table(spark):
 
 def test_shares_hold_with_a_giant(spark):
     rows = [(f"g{i:04d}", "giant") for i in range(1000)] + [(f"r{i:05d}", None) for i in range(2000)]
-    made = assign_splits(entity_components(spark.createDataFrame(rows, "id string, e string"), "id", ["e"]), "id")
+    made = assign_splits(entity_components(spark.createDataFrame(rows, "id string, e string"), "id", ["e"]), "id", dealt_share=0.05)
     n = {r.split: r["count"] for r in made.groupBy("split").count().collect()}
     assert abs(n["train"] / 3000 - 0.8) < 0.03 and abs(n["test"] / 3000 - 0.1) < 0.03
     assert made.groupBy("component").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
