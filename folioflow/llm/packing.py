@@ -8,8 +8,9 @@ fills. One combination is used as often as the counts of its lengths allow.
 
 The plan depends on the histogram alone, which has at most as many entries as the
 capacity, and every combination uses up some length: plan and histogram are bounded
-by the capacity whatever the data. The items then find their places by rank within
-their length, numbered in salted buckets so that a hot length is never one task.
+by the capacity whatever the data. The items are numbered by length in range partitions,
+which share out a hot length as any other rows, and find their places by a binary
+search among the slots of their length.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.plans.lineage import cut
+from folioflow.operators.ranks import global_row_number
 from folioflow.plans.sizes import bounded_rows
 from folioflow.sources.tables import pruned_table
 
@@ -30,8 +32,6 @@ CAPACITY = 1600
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public vocabulary splits a text before its merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Buckets in which the items of one length are numbered.
-BUCKETS = 16
 
 
 @lru_cache(maxsize=2)
@@ -159,6 +159,34 @@ class Plan:
         return rows, container
 
 
+def _placed(histogram: dict[int, int], capacity: int):
+    """A function from numbers (from 1, by length) and lengths to container and position."""
+    ranges, containers = Plan(histogram, capacity).ranges()
+    starts, before = {}, 0
+    for n in sorted(histogram):
+        starts[n] = before
+        before += histogram[n]
+    slots = {n: tuple(np.array(x) for x in zip(*((lo, first, place) for m, lo, _, first, place in ranges if m == n), strict=True)) for n in {r[0] for r in ranges}}
+    most = max((p for *_, p in ranges), default=-1) + 1
+
+    def place(numbers: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(sizes), 2), np.int64)
+        lengths, given = sizes.to_numpy(), numbers.to_numpy()
+        for n in np.unique(lengths):
+            here = lengths == n
+            rank = given[here] - 1 - starts[int(n)]
+            if n == 0:
+                # Items without size are spread over the containers behind the others.
+                out[here] = np.stack([rank % max(1, containers), most + rank // max(1, containers)], axis=1)
+            else:
+                lo, first, position = slots[int(n)]
+                slot = np.searchsorted(lo, rank, side="right") - 1
+                out[here] = np.stack([first[slot] + rank - lo[slot], position[slot]], axis=1)
+        return pd.DataFrame(out, columns=["sequence", "position"])
+
+    return place
+
+
 def packed(pieces: DataFrame, capacity: int = CAPACITY, size: str = "tokens", key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """The items with ``sequence`` and ``position`` (both from 0).
 
@@ -167,24 +195,12 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, size: str = "tokens", ke
     others, in one container if there is no other. Repeated rows are items of their
     own. No items give no rows.
     """
-    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS))
-    rows = cut(pieces.filter(F.col(size).isNotNull()).withColumn("_bucket", bucket))
-    counts = cut(rows.groupBy(size, "_bucket").agg(F.count("*").alias("n")))
-    histogram = {r[size]: r.n for r in bounded_rows(counts.groupBy(size).agg(F.sum("n").alias("n")), capacity + 1, "lengths")}
+    numbered = global_row_number(pieces.filter(F.col(size).isNotNull()), [F.col(size), *map(F.col, key)], "_number")
+    histogram = {r[size]: r["count"] for r in bounded_rows(numbered.groupBy(size).count(), capacity + 1, "lengths")}
     if histogram and (min(histogram) < 0 or max(histogram) > capacity):
         raise ValueError(f"an item of {max(histogram)} in containers of {capacity}")
-    ranges, containers = Plan(histogram, capacity).ranges()
-    before = Window.partitionBy(size).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(size, "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(size, "_bucket").orderBy(*key)
-    ranked = rows.withColumn("_row", F.row_number().over(within)).join(F.broadcast(offsets), [size, "_bucket"]).withColumn("_rank", F.col("_offset") + F.col("_row") - 1)
-    plan = pieces.sparkSession.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], f"{size} int, _from bigint, _to bigint, _first bigint, _place int")
-    full = ranked.filter(F.col(size) > 0).join(F.broadcast(plan), size).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    full = full.withColumn("sequence", F.col("_first") + F.col("_rank") - F.col("_from")).withColumn("position", F.col("_place").cast("bigint"))
-    most = max((p for *_, p in ranges), default=-1) + 1
-    empty = ranked.filter(F.col(size) == 0).withColumn("sequence", F.col("_rank") % max(1, containers)).withColumn("position", F.lit(most) + F.floor(F.col("_rank") / max(1, containers)))
-    out = [*pieces.columns, "sequence", "position"]
-    return full.select(*out).unionByName(empty.select(*out))
+    place = F.pandas_udf(_placed(histogram, capacity), "sequence bigint, position bigint")
+    return numbered.withColumn("_slot", place("_number", size)).select(*pieces.columns, "_slot.sequence", "_slot.position")
 
 
 def sequences(spark: SparkSession, folder: str) -> DataFrame:
