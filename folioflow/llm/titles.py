@@ -8,9 +8,10 @@ evaluation string at one of few positions, given by the edits possible before an
 after it. Strings that meet on a segment are verified by banded dynamic programming
 over the characters and then word by word.
 
-Equal strings are one class, however many records bear them. A segment that many
-training strings share is not joined as it is: within it, what is left of both
-strings is cut again, so that a pair must agree on a second segment too.
+Equal strings are one class, however many records bear them. A segment on which many
+pairs meet is not joined as it is: within it, what is left of both strings is cut
+again, so that a pair must agree on a second segment too, and so on; what still is
+hot after LEVELS cuts is joined in salted parts.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ from pyspark.sql import types as T
 
 from folioflow.llm.identity import split_of
 from folioflow.llm.splits import submissions
+from folioflow.operators.sparse import Joined
 from folioflow.plans.lineage import cut
 from folioflow.sources.tables import pruned_table
 
 #: Slips between two titles; characters that may differ by them, a swap of neighbours being two.
 K_SLIPS = 4
 K_CHARACTERS = 2 * K_SLIPS
-#: Training strings on one segment from which it is cut once more.
-HOT = 32
+#: Pairs that meet on one segment from which it is cut once more, and the most cuts.
+HOT, LEVELS = 1024, 4
 
 # Little words, which a title may gain or lose.
 LITTLE = frozenset("a an the and or of in on for with to from by at as into via its is are be".split())
@@ -167,50 +169,48 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _emit(cut_up: Callable[[str, str, int], list[tuple[int, int, int]]]):
-    """A mapInPandas step from (text) to (key, text, start, size)."""
+    """A mapInPandas step from (key, text, rest, start, size) to the segments of what is left of each string, under the key so far."""
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), _ROWS_AT_ONCE):
-                # No slip touches what is not a letter from a to z: it is part of the key.
-                rows = [(key, x, s, z) for x in b["text"][at : at + _ROWS_AT_ONCE] for key, s, z in cut_up(x, _LATIN.sub("", x), K_SLIPS)]
-                yield pd.DataFrame(rows, columns=["key", "text", "start", "size"])
+                rows = []
+                for key, text, rest, start, size in b[at : at + _ROWS_AT_ONCE].itertuples(index=False):
+                    # No slip touches what is not a letter from a to z: it is part of the key.
+                    rest, under = rest[:start] + rest[start + size :], str(key) if key else _LATIN.sub("", text)
+                    rows += [(again, text, rest, s, z) for again, s, z in cut_up(rest, under, K_SLIPS)]
+                yield pd.DataFrame(rows, columns=["key", "text", "rest", "start", "size"])
 
     return step
 
 
-def _emit_again(cut_up: Callable[[str, str, int], list[tuple[int, int, int]]]):
-    """Second cut within a hot segment: what is left of the string, under the key of the first."""
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), _ROWS_AT_ONCE):
-                part = b[at : at + _ROWS_AT_ONCE]
-                rows = [(again, x) for key, x, s, z in part.itertuples(index=False) for again, _, _ in cut_up(x[:s] + x[s + z :], f"{key}", K_SLIPS)]
-                yield pd.DataFrame(rows, columns=["key", "text"])
-
-    return step
-
-
-_ROWS = "key bigint, text string, start int, size int"
+_ROWS = "key bigint, text string, rest string, start int, size int"
 _ROWS_AT_ONCE = 1000
 
 
-def candidates(evaluation: DataFrame, training: DataFrame, hot: int = HOT) -> DataFrame:
+def candidates(evaluation: DataFrame, training: DataFrame, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
     """Pairs ``(e, t)`` of different strings of which two texts agree on a segment and are within the characters that may differ."""
     # Cutting up is work for Python: the few rows of a small table must not lie in one or two tasks.
     tasks = int(evaluation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of_e, of_t = (cut(x.select("words").repartition(tasks, "words").mapInPandas(_texts, "words string, text string")) for x in (evaluation, training))
-    t = cut(of_t.select("text").repartition(tasks, "text").distinct().mapInPandas(_emit(_segments), _ROWS))
-    e = of_e.select("text").repartition(tasks, "text").distinct().mapInPandas(_emit(_substrings), _ROWS)
-    many = t.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= hot).select("key")
-    near = F.levenshtein("te", "tt", K_CHARACTERS) >= 0
-    cold = t.join(many, "key", "left_anti").select("key", F.col("text").alias("tt")).join(e.select("key", F.col("text").alias("te")), "key").filter(near)
-    t2 = t.join(many, "key", "left_semi").select("key", "text", "start", "size").mapInPandas(_emit_again(_segments), "key bigint, text string")
-    e2 = e.join(many, "key", "left_semi").select("key", "text", "start", "size").mapInPandas(_emit_again(_substrings), "key bigint, text string")
-    cut_twice = t2.select("key", F.col("text").alias("tt")).join(e2.select("key", F.col("text").alias("te")), "key").filter(near)
-    pairs = cold.select("te", "tt").unionByName(cut_twice.select("te", "tt")).distinct()
-    named = pairs.join(of_e.select(F.col("words").alias("e"), F.col("text").alias("te")), "te").join(of_t.select(F.col("words").alias("t"), F.col("text").alias("tt")), "tt")
+    first = lambda x: x.select(F.lit(0).cast("bigint").alias("key"), "text", F.col("text").alias("rest"), F.lit(0).alias("start"), F.lit(0).alias("size")).repartition(tasks, "text").distinct()
+    e, t = first(of_e), first(of_t)
+    near, pairs = F.levenshtein("te", "tt", K_CHARACTERS) >= 0, None
+    for level in range(levels):
+        t, e = cut(t.mapInPandas(_emit(_segments), _ROWS)), e.mapInPandas(_emit(_substrings), _ROWS)
+        # Of all substrings only those that meet a segment go on.
+        e = cut(e.join(t.select("key").distinct(), "key", "left_semi").select("key", "text", "rest", "start", "size"))
+        counts = t.groupBy("key").agg(F.count("*").alias("nt")).join(e.groupBy("key").agg(F.count("*").alias("ne")), "key")
+        many = cut(counts.filter(F.col("nt") * F.col("ne") >= hot).select("key"))
+        last = level == levels - 1 or not many.take(1)
+        part = t if last else t.join(many, "key", "left_anti")
+        left, right = part.select("key", F.col("text").alias("tt")), e.select("key", F.col("text").alias("te"))
+        met = (Joined(cut(left), "key", "tt", 1, 0, hot).with_vector(right) if last and level else left.join(right, "key")).filter(near).select("te", "tt")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if last:
+            break
+        t, e = (x.join(many, "key", "left_semi").select("key", "text", "rest", "start", "size") for x in (t, e))
+    named = pairs.distinct().join(of_e.select(F.col("words").alias("e"), F.col("text").alias("te")), "te").join(of_t.select(F.col("words").alias("t"), F.col("text").alias("tt")), "tt")
     return named.select("e", "t").filter("e <> t").distinct()
 
 
@@ -341,5 +341,18 @@ def counted(spark: SparkSession, folder: str) -> DataFrame:
     return overlaps(spark, folder).join(of, "e_case").groupBy("split", "dataset").agg(F.count("*").alias("pairs"), F.countDistinct("e_case").alias("records"))
 
 
-QUERIES = {"p6_found": found, "p6_counted": counted}
+def links(spark: SparkSession, folder: str) -> DataFrame:
+    """Per validation or test record how many training records share its submission, bear its title, or one that is nearly the same: counts of classes, no pairs of records."""
+    rows = cut(titled(spark, folder))
+    borne = rows.filter("words is not null")
+    classes = cut(borne.groupBy("words").agg(F.max(F.col("split") != "train").alias("evaluation"), F.max(F.col("split") == "train").alias("training"), F.countDistinct(F.when(F.col("split") == "train", F.col("case_id"))).alias("n")))
+    near = near_titles(classes).join(classes.select(F.col("words").alias("t"), "n"), "t").groupBy(F.col("e").alias("words")).agg(F.sum("n").alias("near_title"))
+    grouped = submissions(spark, folder).filter("case_id is not null and split is not null")
+    per = grouped.filter("submission is not null and split = 'train'").groupBy("submission").agg(F.countDistinct("case_id").alias("same_submission"))
+    evaluation = rows.filter("split <> 'train'").join(classes.select("words", F.col("n").alias("same_title")), "words", "left").join(near, "words", "left").groupBy("case_id").agg(F.max("same_title").alias("same_title"), F.max("near_title").alias("near_title"))
+    of = grouped.filter("split <> 'train'").join(per, "submission", "left").groupBy("case_id").agg(F.max("same_submission").alias("same_submission"))
+    return evaluation.join(of, "case_id").na.fill(0).filter("same_submission + same_title + near_title > 0")
+
+
+QUERIES = {"p6_found": found, "p6_counted": counted, "p6_links": links}
 ORACLE: dict[str, str] = {}
