@@ -2,25 +2,30 @@
 
 A noisy channel: the original text, in encoding S, was decoded as W. A suspicious
 piece of text is turned back into the bytes that W had read, with a wildcard for each
-byte that was lost; the lattice of these bytes is decoded under each S by a Viterbi
-search, whose scores come from the corpus: the frequencies of its words beyond ASCII
-and of its pairs of characters, counted over all documents. A piece is garbled where
-the best original is far more probable than what stands there.
-
-The counts are made by one pass (summed per batch, then in Spark) and cut off at a
-fixed share of all occurrences, which bounds the model whatever the corpus: at most
-1 / WORD_SHARE words and 1 / PAIR_SHARE pairs are broadcast.
+byte that was lost; the lattice of these bytes, in which a sound character may also
+stand for itself, is decoded under each S by a Viterbi search. Its scores come from the corpus:
+the frequencies of its words beyond ASCII and of its pairs of characters, counted over
+all documents. A piece is garbled where the best original is far more probable than
+what stands there. (Bytes without a gap that are sound throughout have a single path
+through the lattice, which is taken without a search.) A replacement character is
+evidence by itself: no text had it before it was decoded.
+
+The counts are made by one pass (summed per batch, then in Spark). The most frequent
+MOST_WORDS words and MOST_PAIRS pairs make the model, however large the corpus, and are
+broadcast; every document is judged.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +33,18 @@ from folioflow.plans.lineage import cut
 from folioflow.plans.sizes import bounded_rows
 from folioflow.sources.tables import pruned_table
 
-#: Share of all occurrences from which a word or pair is in the model, and the least count.
-WORD_SHARE, PAIR_SHARE, LEAST = 5e-6, 2e-6, 2
+#: Words and pairs in the model at most, and the least count.
+MOST_WORDS, MOST_PAIRS, LEAST = 150_000, 100_000, 2
 #: Longest piece that counts as a word.
 WORD_LENGTH = 40
 #: How much more probable (in nats) an original must be, for a piece alone and for a document's pieces together.
 PIECE_GAIN, DOCUMENT_GAIN = 5.0, 5.0
 #: How much more frequent than what stands there the word must be that a single changed byte points to, and its least count.
 WORD_RATIO, WORD_COUNT = 20.0, 4
-#: States kept at each byte of the lattice, rounds for text garbled more than once.
-BEAM, ROUNDS = 12, 3
+#: States kept at each byte of the lattice, readings of a gap, rounds for text garbled more than once.
+BEAM, READINGS, ROUNDS = 12, 256, 3
+#: What a lost byte, and a sound character among garbled ones, cost in nats.
+LOSS, SOUND = 6.0, 2.0
 
 # Encodings of one byte a character that text is written in or taken for.
 SINGLE = ("cp1252", "iso8859-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac-roman", "mac-cyrillic", "cp437", "cp850", "cp1254")
@@ -139,8 +146,15 @@ class Model:
     def _step(self, x: str, y: str) -> float:
         return self.log.get((x + y).translate(_CLASSES), self.floor) if x > "\x7f" or y > "\x7f" else 0.0
 
-    def decode(self, data: list[int | None], encoding: str) -> str | None:
-        """The best reading of a byte lattice (None: a lost byte) in UTF-8 or GBK; None where there is none."""
+    def known(self, piece: str) -> float:
+        """Nats for a word that the corpus knows."""
+        return math.log1p(self.words.get(word(piece), 0)) if len(piece) <= WORD_LENGTH else 0.0
+
+    def decode(self, data: list[int | None], encoding: str, stands: str = "") -> str | None:
+        """The best reading of a byte lattice (None: a lost byte) in UTF-8 or GBK; None where there is none.
+
+        stands: the characters as they stand, if each byte may be left as it is.
+        """
         states: list[list[tuple[float, str]]] = [[] for _ in range(len(data) + 1)]
         states[0] = [(0.0, " ")]
         n = len(data)
@@ -165,9 +179,9 @@ class Model:
                         except UnicodeDecodeError:
                             pass
                     else:
-                        options += [(size, c) for c in self.open.get(part, ())[:BEAM]]
-                # A byte that leads nowhere stays lost, at a price.
-                options.append((1, LOST))
+                        options += [(size, c) for c in self.open.get(part, ())[:READINGS]]
+                # A byte that leads nowhere stays as it is or lost, at a price.
+                options.append((1, stands[i] if stands else LOST))
             else:
                 part = data[i : i + 2]
                 if len(part) == 2 and None not in part:
@@ -177,10 +191,11 @@ class Model:
                         pass
             for size, c in options:
                 for s, said in beam:
-                    states[i + size].append((s + self._step(said[-1], c) - (6.0 if c == LOST else 0.0), said + c))
+                    price = LOSS if c == LOST else SOUND if size == 1 and c > "\x7f" else 0.0
+                    states[i + size].append((s + self._step(said[-1], c) - price, said + c))
         if not states[n]:
             return None
-        return max((s + self._step(said[-1], " "), said) for s, said in states[n])[1][1:]
+        return max((s + self._step(said[-1], " ") + self.known(said[1:]), said) for s, said in states[n])[1][1:]
 
     def originals(self, piece: str) -> Iterator[tuple[str, str, tuple[str, str] | None]]:
         """(kind, original, encodings): u for a decoded sequence of bytes, s for a change of single bytes from one encoding to another."""
@@ -194,7 +209,7 @@ class Model:
         for data, wrong in seen.items():
             if len(beyond) > 1:
                 for s in ("utf-8", "gbk"):
-                    if (o := self._lattice(data, s)) is not None:
+                    if (o := self._lattice(data, s, piece)) is not None:
                         yield "u", o, None
             if None not in data:
                 for e in SINGLE:
@@ -214,14 +229,15 @@ class Model:
             if (o := self._lattice(tuple(data), "utf-8")) is not None:
                 yield "u", o, None
 
-    def _lattice(self, data: tuple[int | None, ...], encoding: str) -> str | None:
-        if None not in data:
-            try:
-                return bytes(data).decode(encoding)
-            except UnicodeDecodeError:
-                # A stretch may be garbled while its neighbours are sound, or lack a byte at its end.
-                return None
-        return self.decode(list(data), encoding)
+    def _lattice(self, data: tuple[int | None, ...], encoding: str, stands: str = "") -> str | None:
+        if None in data:
+            return self.decode(list(data), encoding)
+        raw = bytes(data)
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            # A stretch may be garbled while its neighbours are sound, or lack a byte at its end.
+            return self.decode(list(data), encoding, stands) if stands and encoding == "utf-8" and _SEQUENCE.search(raw) else None
 
     def fill(self, piece: str, least: int = 1) -> str | None:
         """A piece with its lost bytes, be they marks or question marks, filled in by the most frequent word that has letters beyond ASCII there."""
@@ -247,10 +263,10 @@ class Model:
             filled = self.fill(piece)
             if filled is not None:
                 return 2 * DOCUMENT_GAIN, filled, None
-            best = max(((self.score(o) - self.score(piece), o) for k, o, _ in self.originals(piece) if k == "u"), default=(0.0, piece))
+            best = max(((self.score(o) + self.known(o) - self.score(piece), o) for k, o, _ in self.originals(piece) if k == "u"), default=(0.0, piece))
             return 2 * DOCUMENT_GAIN, best[1], None
         two = pairs(piece)
-        before = self.score(piece)
+        before = self.score(piece) + self.known(piece)
         best: tuple[float, str, tuple[str, str] | None] = (0.0, piece, None)
         for kind, o, encodings in self.originals(piece):
             if _UNUSUAL.search(o):
@@ -259,7 +275,7 @@ class Model:
                 if _UNUSUAL.search(o):
                     continue
             n = self.words.get(word(o), 0) if len(o) <= WORD_LENGTH else 0
-            gain = self.score(o) - before
+            gain = self.score(o) + self.known(o) - before
             if kind == "s":
                 long = re.search("[^\x00-\x7f]{4,}", piece) is not None
                 known = n >= WORD_COUNT and n >= WORD_RATIO * (here + 1)
@@ -319,6 +335,8 @@ class Model:
         return gains, text
 
 
+#: A character of several bytes in UTF-8.
+_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: A question mark before a letter.
 _ASKED = re.compile(r"\?[^\W\d_]")
 #: Characters no original has: controls and the private area.
@@ -340,20 +358,46 @@ def spans(piece: str) -> list[str]:
     return [x for x in out if x]
 
 
-def fit(documents: DataFrame) -> Model:
-    """The model of a table; its size is bounded by the cut-off shares."""
+def fit(documents: DataFrame, most: dict[str, int] | None = None) -> Model:
+    """The model of a table: its most frequent words and pairs, at most so many of each.
+
+    The least count that keeps within the bound is read off a histogram of the counts
+    (eight steps to a doubling: some 500 rows at most), so that nothing is sorted.
+    """
     table = cut(counts(documents))
     totals = {r.kind: r.n for r in table.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    kept = {}
-    for kind, share in (("w", WORD_SHARE), ("p", PAIR_SHARE)):
-        least = max(LEAST, share * totals.get(kind, 0))
-        kept[kind] = {r.key: r.n for r in bounded_rows(table.filter((F.col("kind") == kind) & (F.col("n") >= least)).select("key", "n"), int(1 / share), "model")}
+    step, kept = F.floor(F.log2("n") * 8), {}
+    for kind, bound in (most or {"w": MOST_WORDS, "p": MOST_PAIRS}).items():
+        rows, least, there = table.filter((F.col("kind") == kind) & (F.col("n") >= LEAST)), 1 << 30, 0
+        for r in sorted(bounded_rows(rows.groupBy(step.alias("step")).count(), 1000, "steps of counts"), reverse=True):
+            there += r["count"]
+            if there > bound:
+                break
+            least = r["step"]
+        kept[kind] = {r.key: r.n for r in bounded_rows(rows.filter(step >= least).select("key", "n"), bound, "model")}
     return Model(kept["w"], kept["p"], totals.get("p", 0))
 
 
-def _search(shared):
+class _Once:
+    """The model of a broadcast, built at most once per Python worker."""
+
+    _built: dict[int, Model] = {}
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def __call__(self) -> Model:
+        # Workers are reused: a model is known by all it holds.
+        key = xxhash.xxh3_128_intdigest(self.shared.value)
+        if key not in _Once._built:
+            _Once._built.clear()
+            _Once._built[key] = Model(*pickle.loads(self.shared.value))
+        return _Once._built[key]
+
+
+def _search(model_of):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*shared.value)
+        model = model_of()
         for b in batches:
             rows = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
@@ -374,8 +418,8 @@ def garbled(documents: DataFrame) -> DataFrame:
     """
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     model = fit(docs)
-    shared = documents.sparkSession.sparkContext.broadcast((model.words, {k: round(math.exp(v) * model.total) for k, v in model.log.items()}, model.total))
-    return docs.mapInPandas(_search(shared), "doc_id bigint, gain double, original string, restored string")
+    shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps((model.words, {k: round(math.exp(v) * model.total) for k, v in model.log.items()}, model.total)))
+    return docs.mapInPandas(_search(_Once(shared)), "doc_id bigint, gain double, original string, restored string")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_originals_where_no_byte_is_lost(result):
     got, originals = result
     lost = [10_000 + k for k, (language, right, wrong) in enumerate(WRONG) if "�" in LINES[language].encode(right).decode(wrong, "replace")]
     exact = [i for i in originals if i not in lost]
-    assert sum(got[i].original == originals[i] for i in exact) >= 0.8 * len(exact)
+    assert sum(got[i].original == originals[i] for i in exact) >= 0.9 * len(exact)
 
 
 def test_lost_bytes_are_filled_in_by_the_words(result):
