@@ -46,3 +46,9 @@ def hash_order(*parts: Column) -> Column:
 
 def short_id(c: Column, prefix: str, digits: int) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(c, 256), 1, digits))
+
+
+def set_digest(h: Column, size: int = 16) -> Column:
+    """An aggregate: a digest of a group of distinct SHA-256 texts, the same in any order; its count, ends and sum are hashed, so that nothing is gathered."""
+    total = F.sum(F.conv(F.substring(h, 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.substring(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.min(h), F.max(h), total), 256), 1, size)

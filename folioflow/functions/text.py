@@ -43,6 +43,20 @@ SECTIONS = {
     "conclusion": r"(?i)(^|\n)\s*(\d+[.、\s]*)?(结论|总结与展望|conclusions?)\s*[:：]?",
     "references": r"(?i)(^|\n)\s*(参考文献|references?|bibliography)\s*[:：]?",
 }
+# Authors with a year, as citations have them.
+AUTHOR = r"[A-Z][A-Za-z'`-]+"
+CITED_AUTHORS = rf"\((?:{AUTHOR}(?:\s+et\s+al\.)?(?:,?\s+\d{{4}}[a-z]?)(?:\s*;\s*)?)+\)"
+AUTHOR_YEAR = rf"(^|[^\w])(?:{AUTHOR}\s+et\s+al\.|{AUTHOR}(?:\s+(?:and|&)\s+{AUTHOR})?)\s*\((?:19|20)\d{{2}}[a-z]?\)"
+# Words that stems of review items leave out.
+ITEM_STOPWORDS = (
+    "about after also although among another authors because been before being between both could does from have however into "
+    "more most much paper provide results review should some such than that their there these they this through using very "
+    "what when where which while with would work method approach unclear missing limited lack needs need please question concern"
+).split()
+# Single words that say nothing about a scope.
+GENERIC_TERMS = "analysis computer data engineering experiment intelligence learning method model science system systems technology".split()
+# Titles of surveys.
+SURVEYS = r"(?i)(^|[^a-z])(survey|review|overview|bibliometric)([^a-z]|$)|综述"
 # What is masked, and how a masked piece reads.
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PROFILE_LINK = r"(?i)https?://[a-z0-9.-]+/profile\?id=~?[a-z0-9_.-]+"
@@ -134,6 +148,12 @@ def redact(c: Column) -> Column:
     return F.regexp_replace(masked, ORCID, "$1[REDACTED_ORCID]$2")
 
 
+def redact_plain(c: Column) -> Column:
+    """Mail addresses, profile links and ORCID numbers under short masks, white space squeezed; empty for null."""
+    masked = _sub(F.coalesce(c, F.lit("")), (EMAIL, "[EMAIL]"), (r"(?i)https?://[a-z0-9.-]+/profile\?id=[^\s)]+", "[PROFILE]"), (ORCID, "$1[ORCID]$2"))
+    return _sub(masked, (r"\s+", " "), ("^ | $", ""))
+
+
 def redact_terms(c: Column, names: Column, mask: str = "[REDACTED_AUTHOR]") -> Column:
     """Each of the row's own names of four and more characters masked, whatever its case."""
     quoted = lambda t: F.concat(F.lit("(?i)"), F.regexp_replace(t, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
@@ -181,15 +201,74 @@ def clean_evidence(c: Column) -> Column:
             (r"(?i)https?://\S+|www\.\S+", " "),
             (r"\$+[^$]{1,500}\$+|\\(?:cite|ref|label)\{[^}]*\}", " "),
             (r"\[(?:\d{1,3}(?:\s*[,;-]\s*\d{1,3})*)\]", " "),
+            (CITED_AUTHORS, " "),
+            (AUTHOR_YEAR, "$1 "),
             (r"\|[-: |]+\|", " "),
             (r"[*_~`]", ""),
         )
     )
 
 
+def _character(n: Column) -> Column:
+    """The character of a code point; a blank for one that is none."""
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    low = lambda shift: byte(F.shiftright(n, shift).bitwiseAND(63) + 128)
+    two = F.concat(byte(F.shiftright(n, 6) + 192), low(0))
+    three = F.concat(byte(F.shiftright(n, 12) + 224), low(6), low(0))
+    four = F.concat(byte(F.shiftright(n, 18) + 240), low(12), low(6), low(0))
+    hexed = F.when(n < 128, byte(n)).when(n < 2048, two).when(n < 65536, three).otherwise(four)
+    return F.when((n < 32) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), " ").otherwise(F.decode(F.unhex(hexed), "UTF-8"))
+
+
 def decode_html(c: Column) -> Column:
     """Tags as blanks, the named entities of markup as characters, squeezed."""
-    return squeeze(_sub(c, ("<[^>]+>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")))
+    text, code = _sub(c, ("<[^>]+>", " ")), F.lit(r"&#(\d{1,7});")
+    # A decimal entity at a time; each kind is replaced everywhere at once.
+    found = F.array_distinct(F.regexp_extract_all(text, code, F.lit(1)))
+    text = F.aggregate(found, text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), _character(n.cast("int"))))
+    return squeeze(_sub(text, ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")))
+
+
+def scope_tokens(c: Column) -> Column:
+    """Lower-case parts between blanks and any of the list separators, of two and more characters."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[\s,，;；、/|]+"), lambda w: F.length(w) >= 2)
+
+
+def scope_text(c: Column) -> Column:
+    """Lower case, dashes, underscores and slashes as blanks, squeezed."""
+    return _sub(F.lower(F.coalesce(c, F.lit(""))), ("[-–—_/]+", " "), (r"\s+", " "), ("^ | $", ""))
+
+
+def scope_hits(c: Column, terms_of: list[str], most: int = 8) -> Column:
+    """Which of the terms a text names: those of several words or beyond ASCII anywhere, single words of five and more letters as whole words, none that are generic."""
+    corpus, wanted = scope_text(c), []
+    for t in dict.fromkeys(terms_of):
+        plain = " ".join(t.lower().replace("-", " ").replace("_", " ").replace("/", " ").split())
+        if " " in plain or not plain.isascii():
+            wanted.append(F.when(F.contains(corpus, F.lit(plain)), t))
+        elif len(plain) >= 5 and plain not in GENERIC_TERMS:
+            wanted.append(F.when(F.array_contains(F.split(corpus, "[^a-z0-9]+"), plain), t))
+    return F.slice(F.array_compact(F.array(*wanted)), 1, most) if wanted else F.array().cast("array<string>")
+
+
+def name_match(candidate: Column, target: Column, other: Column) -> Column:
+    """How well a name fits a target: 100 the target or its other name, 80 one within the other, 75 so for the other name, 0; null names count as empty, an empty other name as none."""
+    a, b, c = (F.coalesce(name_key(x), F.lit("")) for x in (candidate, target, other))
+    within = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    return F.when((a == b) | ((c != "") & (a == c)), 100).when(within(a, b), 80).when((c != "") & within(a, c), 75).otherwise(0)
+
+
+def packed_sentences(c: Column, longer_than: int, most: int) -> Column:
+    """A block as it is, or, beyond ``longer_than`` characters, in packs of whole sentences of up to ``most`` characters; a longer sentence is a pack."""
+    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def add(a: Column, x: Column) -> Column:
+        both = F.trim(F.concat(a["now"], F.lit(" "), x))
+        full = (a["now"] != "") & (F.length(both) > most)
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), F.when(full, x).otherwise(both).alias("now"))
+
+    packs = F.aggregate(F.split(c, r"(?<=[.!?])\s+"), state, add, lambda a: F.filter(F.concat(a["done"], F.array(a["now"])), lambda x: x != ""))
+    return F.when(F.length(c) <= longer_than, F.array(c)).otherwise(packs)
 
 
 def chinese_characters(c: Column) -> Column:

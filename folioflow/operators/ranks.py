@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +101,31 @@ def evenly_spaced(df: DataFrame, order: list[Column], k: int, half_even: bool =
     wanted = df.sparkSession.createDataFrame(places, "sample_no int, _place bigint")
     numbered = global_row_number(df, order, "_number")
     return numbered.join(F.broadcast(wanted), F.col("_number") - 1 == F.col("_place")).drop("_number", "_place")
+
+
+#: Which place of n sorted values, from 0, a quantile q has, by rule; a place between two values is filled in linearly.
+PLACES = {
+    "linear": lambda n, q: (n - 1) * q,
+    "nearest_rank": lambda n, q: F.greatest(F.ceil(n * q) - 1, F.lit(0)),
+    "truncated": lambda n, q: F.least(F.floor(n * q), n - 1),
+    "rounded": lambda n, q: F.floor((n - 1) * q + 0.5),
+}
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """``(group, n, <names>)``: exact quantiles per group, each as ``(q, rule)`` with a rule of PLACES.
+
+    The rows are numbered in range partitions and only those at the places asked for
+    go on, so that no group is buffered in one task. Null values count for nothing,
+    null groups are a group.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    numbered = group_row_number(known, group, [F.col("_v")], "_rn", "_n")
+    places = {k: PLACES[rule](F.col("_n"), F.lit(q)) for k, (q, rule) in wanted.items()}
+    at = F.col("_rn") - 1
+    here = [at.isin(0)] + [(at == F.floor(p)) | (at == F.ceil(p)) for p in places.values()]
+    kept = numbered.filter(reduce(lambda a, b: a | b, here))
+    pick = lambda p: F.max(F.when(at == p, F.col("_v")))
+    low = kept.groupBy(*group).agg(F.max("_n").alias("n"), *[pick(F.floor(p)).alias(f"_l_{k}") for k, p in places.items()], *[pick(F.ceil(p)).alias(f"_h_{k}") for k, p in places.items()])
+    share = lambda k: PLACES[wanted[k][1]](F.col("n"), F.lit(wanted[k][0])) - F.floor(PLACES[wanted[k][1]](F.col("n"), F.lit(wanted[k][0])))
+    return low.select(*group, "n", *[(F.col(f"_l_{k}") + (F.col(f"_h_{k}") - F.col(f"_l_{k}")) * share(k)).alias(k) for k in wanted])

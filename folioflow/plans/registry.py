@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import nested_queries, rank_queries, review_queries, table_queries, text_queries
+from folioflow.plans import case_queries, nested_queries, rank_queries, review_queries, table_queries, text_queries
 
-_MODULES = (nested_queries, text_queries, table_queries, rank_queries, review_queries)
+_MODULES = (nested_queries, text_queries, table_queries, rank_queries, review_queries, case_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -178,6 +178,8 @@ _project(
                 (r"(?i)https?://\S+|www\.\S+", "' '"),
                 (r"\$+[^$]{1,500}\$+|\\(?:cite|ref|label)\{[^}]*\}", "' '"),
                 (r"\[(?:\d{1,3}(?:\s*[,;-]\s*\d{1,3})*)\]", "' '"),
+                (r"\((?:[A-Z][A-Za-z''`-]+(?:\s+et\s+al\.)?(?:,?\s+\d{4}[a-z]?)(?:\s*;\s*)?)+\)", "' '"),
+                (r"(^|[^\w])(?:[A-Z][A-Za-z''`-]+\s+et\s+al\.|[A-Z][A-Za-z''`-]+(?:\s+(?:and|&)\s+[A-Z][A-Za-z''`-]+)?)\s*\((?:19|20)\d{2}[a-z]?\)", "'\\1 '"),
                 (r"\|[-: |]+\|", "' '"),
                 (r"[*_~`]", _E),
             ).replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}")

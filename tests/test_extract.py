@@ -40,12 +40,11 @@ def test_evidence_fields(spark):
     assert got["b"][1:] == ("", "", "", "") and got["d"][1:] == ("", "", "", "")
 
 
-def test_chosen_sentences():
-    assert chosen_sentences("", ["x"], 50) == ""
-    assert chosen_sentences("short text", ["x"], 5) == "short"
+def test_chosen_sentences(spark):
     text = "This is the first sentence here. This is the second sentence here. This is the third sentence here. We propose the fourth sentence here."
-    assert chosen_sentences(text, ["we propose"], 36) == "We propose the fourth sentence here."
-    assert len(chosen_sentences("x" * 1000 + " yes", [], 100)) <= 100
+    rows = [("", ["x"], 50, ""), ("short text", ["x"], 5, "short"), (text, ["we propose"], 36, "We propose the fourth sentence here."), ("x" * 1000 + " yes", [], 100, "x" * 100)]
+    for said, words, budget, want in rows:
+        assert spark.createDataFrame([(said,)], "t string").select(chosen_sentences(F.col("t"), words, budget).alias("c")).first().c == want
 
 
 def test_group_numbers_with_a_hot_group(spark):
