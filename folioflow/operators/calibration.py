@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.numbers import sigmoid
 from folioflow.operators.ranks import running_totals
 
 
@@ -42,30 +43,57 @@ def linear(columns: list[str], weights: list[float], bias: float) -> Column:
     return out
 
 
-def logistic_regression(df: DataFrame, columns: list[str], label: str, epochs: int = 200, rate: float = 0.5, l2: float = 1e-3) -> tuple[list[float], float]:
-    """Weights and bias by full-batch gradient descent with the rate falling as 1 / sqrt(1 + epoch / 200), the bias starting at the prior's logit, the penalty on the weights alone.
+def logistic_regression(df: DataFrame, columns: list[str], label: str, l2: float = 0.02, tolerance: float = 1e-9, passes: int = 100) -> tuple[list[float], float]:
+    """Weights and bias that minimise the mean log loss plus ``l2 / 2`` times the squared weights (the bias is free), by Newton's method.
 
-    Each epoch is one aggregation to a single row of gradients; rows with a null are
-    left out. Without rows or with one class the weights stay 0.
+    This is the point that gradient descent with that penalty tends to, in some ten
+    passes in place of a thousand. Each pass is one aggregation to a single row of
+    gradients and curvatures; rows with a null are left out. Without rows or with one
+    class the weights stay 0 and the bias is the prior's logit. A fit that does not
+    settle is an error.
     """
     rows = df.filter(F.col(label).isin(0, 1)).select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("double").alias("_y")).dropna().persist()
     try:
         head = rows.agg(F.avg("_y").alias("p"), F.count("*").alias("n")).first()
-        w, p = np.zeros(len(columns)), min(max(head.p or 0.5, 1e-6), 1 - 1e-6)
-        b = float(np.log(p / (1 - p)))
+        p, width = min(max(head.p or 0.5, 1e-6), 1 - 1e-6), len(columns) + 1
+        at = np.append(np.zeros(len(columns)), np.log(p / (1 - p)))
         if not head.n or head.p in (0.0, 1.0):
-            return w.tolist(), b
-        for epoch in range(epochs):
-            z = linear(columns, w.tolist(), b)
-            error = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z)))) - F.col("_y")
-            g = rows.select(error.alias("_e"), *columns).agg(F.avg("_e").alias("_b"), *[F.avg(F.col("_e") * F.col(c)).alias(c) for c in columns]).first()
-            step = rate / np.sqrt(1 + epoch / 200)
-            w = w - step * (np.array([g[c] for c in columns]) + l2 * w)
-            b -= step * g["_b"]
-        return w.tolist(), float(b)
+            return at[:-1].tolist(), float(at[-1])
+        penalty, names = np.append(np.full(len(columns), l2), 0.0), [*columns, "_one"]
+        for _ in range(passes):
+            chance = sigmoid(linear(columns, at[:-1].tolist(), at[-1]))
+            known = rows.select(F.lit(1.0).alias("_one"), *columns, (chance - F.col("_y")).alias("_e"), (chance * (1 - chance)).alias("_h"))
+            both = [(i, j) for i in range(width) for j in range(i, width)]
+            r = known.agg(*[F.avg(F.col("_e") * F.col(c)).alias(f"g{i}") for i, c in enumerate(names)], *[F.avg(F.col("_h") * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in both]).first()
+            gradient = np.array([r[f"g{i}"] for i in range(width)]) + penalty * at
+            if np.abs(gradient).max() < tolerance:
+                return at[:-1].tolist(), float(at[-1])
+            curvature = np.diag(penalty + 1e-12)
+            for i, j in both:
+                curvature[i, j] += r[f"h{i}_{j}"]
+                curvature[j, i] = curvature[i, j]
+            step = np.linalg.solve(curvature, gradient)
+            at = at - step / max(1.0, float(np.abs(step).max()) / 4)
+        raise RuntimeError(f"the logistic model has not settled after {passes} passes")
     finally:
         rows.unpersist()
 
 
+def platt(df: DataFrame, score: str, label: str, least: int = 10, l2: float = 0.005) -> tuple[float, float]:
+    """Slope and intercept that calibrate a score; the identity for fewer than ``least`` rows or one class."""
+    known = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+    r = known.agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes")).first()
+    if r.n < least or r.classes < 2:
+        return 1.0, 0.0
+    w, b = logistic_regression(known, [score], label, l2)
+    return w[0], b
+
+
+def confidence_tier(support: Column, n: Column, error: Column) -> Column:
+    """How far a calibration can be relied on, by its support, sample and expected calibration error; low where the error is null."""
+    high = (support >= 100) & (n >= 200) & (error <= 0.05)
+    return F.when(high, "high").when((support >= 30) & (n >= 50) & (error <= 0.12), "medium").otherwise("low")
+
+
 def decision(p: Column, accept: float = 0.65, reject: float = 0.35) -> Column:
     return F.when(p >= accept, "accept").when(p <= reject, "reject").otherwise("borderline")

@@ -283,7 +283,7 @@ def m21(spark, folder):
     t = pair_outcomes(spark, folder).join(verdicts(spark, folder).filter("said is not null"), "pair_id")
     judge = F.when(F.col("said") == "tie", 0.5).when(F.col("said") == F.when(F.col("delta") > 0, "A").otherwise("B"), 1.0).otherwise(0.0)
     mock = F.when(F.col("outcome") == "tie", 0.5).when(F.col("outcome") == "correct", 1.0).otherwise(0.0)
-    return _rounded(metrics.paired_bootstrap(t.select(judge.alias("judge"), mock.alias("mock")), "judge", "mock"), "difference", "low", "high")
+    return _rounded(metrics.paired_bootstrap(t.select(judge.alias("judge"), mock.alias("mock")), "judge", "mock", 5000), "difference", "low", "high")
 
 
 # ---- rank aggregation ----
@@ -358,10 +358,10 @@ def c02(spark, folder):
 
 @_query("c01_logistic")
 def c01(spark, folder):
-    """Acceptance from rating and number of reviews: standardised, fitted by distributed gradients, decided in three ways."""
+    """Acceptance from rating and number of reviews: standardised, fitted by distributed Newton steps, decided in three ways."""
     p = papers(spark, folder).filter("rating is not null").select("paper_id", "label", "rating", F.size("rs").cast("double").alias("reviews"))
     z = calibration.standardised(p, ["rating", "reviews"], calibration.column_scales(p, ["rating", "reviews"]))
-    w, b = calibration.logistic_regression(z, ["rating", "reviews"], "label", epochs=40)
+    w, b = calibration.logistic_regression(z, ["rating", "reviews"], "label")
     s = calibration.linear(["rating", "reviews"], w, b)
     out = z.withColumn("p", 1 / (1 + F.exp(-s)))
     return out.select("paper_id", F.round("p", 5).alias("p"), calibration.decision(F.col("p")).alias("decision"))

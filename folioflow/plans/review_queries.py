@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import hashing, text
@@ -82,29 +82,36 @@ def j16(spark, folder):
 
 
 _BODY = _TEXT["f59_json_body"].split(" AS body")[0].split("run_id, ", 1)[1]
-_CONCERNS = """'{"major_concerns":[{"category":"VARCHAR","evidence":[{"paragraph_id":"VARCHAR"}]}]}'"""
-_MATCH_SQL = f"""r AS (SELECT DISTINCT run_id, case_id, json_transform(body, {_CONCERNS}).major_concerns AS cs FROM (SELECT run_id, case_id, {_BODY} AS body FROM eval_runs WHERE status = 'ok') WHERE json_valid(body)),
-    p AS (SELECT run_id, case_id, c.category AS category, list_transform(coalesce(c.evidence, []), lambda e: e.paragraph_id) AS ids, no FROM (SELECT run_id, case_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS no FROM r)),
+_CONCERN = '[{"category":"VARCHAR","evidence":[{"paragraph_id":"VARCHAR"}]}]'
+_CONCERNS = "'" + '{"major_concerns":' + _CONCERN + ',"minor_concerns":' + _CONCERN + "}'"
+_SEVERE = "list_transform(coalesce(t.{0}_concerns, []), lambda c: {{'severity': '{0}', 'category': c.category, 'evidence': c.evidence}})"
+_MATCH_SQL = f"""r AS (SELECT DISTINCT run_id, case_id, list_concat({_SEVERE.format("major")}, {_SEVERE.format("minor")}) AS cs FROM (SELECT run_id, case_id, json_transform(body, {_CONCERNS}) AS t FROM (SELECT run_id, case_id, {_BODY} AS body FROM eval_runs WHERE status = 'ok') WHERE json_valid(body))),
+    p AS (SELECT run_id, case_id, c.severity AS severity, c.category AS category, list_transform(coalesce(c.evidence, []), lambda e: e.paragraph_id) AS ids, no FROM (SELECT run_id, case_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS no FROM r)),
     g AS (SELECT case_id, i.severity AS severity, coalesce(i.acceptable_categories, [i.category]) AS cats, list_filter(coalesce(i.evidence_paragraph_ids, []), lambda x: x IS NOT NULL) AS ids, no AS g FROM (SELECT case_id, unnest(gold.issues) AS i, generate_subscripts(gold.issues, 1) AS no FROM (SELECT * FROM cases WHERE case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY received_at DESC) = 1)) WHERE i IS NOT NULL),
-    m AS (SELECT run_id, g.g, min(p.no) AS first FROM p JOIN g ON g.case_id = p.case_id AND g.severity = 'major' AND list_contains(g.cats, p.category) AND (len(g.ids) = 0 OR list_has_any(g.ids, p.ids)) GROUP BY 1, 2)"""
+    m AS (SELECT run_id, g.g, min(p.no) AS first FROM p JOIN g ON g.case_id = p.case_id AND g.severity = p.severity AND list_contains(g.cats, p.category) AND (len(g.ids) = 0 OR list_has_any(g.ids, p.ids)) GROUP BY 1, 2)"""
 
 
 def gold_matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The concerns of each sound answer, the gold issues of each case, and which concern is the first to match an issue.
 
-    A concern matches an issue of severity major in one of its categories that shares
-    a paragraph with it; an issue without paragraphs needs none. Issues are matched
+    A concern, major or minor by the list it stands in, matches an issue of its
+    severity in one of its categories that shares a paragraph with it; an issue without paragraphs needs none. Issues are matched
     once, a concern may match several.
     """
-    schema = "struct<major_concerns: array<struct<category: string, evidence: array<struct<paragraph_id: string>>>>>"
+    concerns = "array<struct<category: string, evidence: array<struct<paragraph_id: string>>>>"
+    schema = f"struct<major_concerns: {concerns}, minor_concerns: {concerns}>"
     body = F.from_json(text.json_body(F.col("raw_output")), schema, {"mode": "PERMISSIVE"})
-    runs = table(spark, folder, "eval_runs").filter("status = 'ok'").select("run_id", "case_id", body["major_concerns"].alias("cs")).distinct()
-    p = runs.select("run_id", "case_id", F.posexplode("cs").alias("no", "c")).select("run_id", "case_id", "no", "c.category", F.coalesce("c.evidence.paragraph_id", F.array().cast("array<string>")).alias("ids"))
+
+    def listed(severity: str) -> Column:
+        return F.transform(F.coalesce(body[f"{severity}_concerns"], F.array().cast(concerns)), lambda c: F.struct(F.lit(severity).alias("severity"), c["category"].alias("category"), c["evidence"].alias("evidence")))
+
+    runs = table(spark, folder, "eval_runs").filter("status = 'ok'").select("run_id", "case_id", F.concat(listed("major"), listed("minor")).alias("cs")).distinct()
+    p = runs.select("run_id", "case_id", F.posexplode("cs").alias("no", "c")).select("run_id", "case_id", "no", "c.severity", "c.category", F.coalesce("c.evidence.paragraph_id", F.array().cast("array<string>")).alias("ids"))
     cases = last_wins(table(spark, folder, "cases").filter("case_id is not null").select("case_id", "received_at", F.col("gold.issues").alias("issues")), ["case_id"], ["received_at"])
     g = cases.select("case_id", F.posexplode("issues").alias("g", "i")).filter("i is not null")
     ids = F.filter(F.coalesce("i.evidence_paragraph_ids", F.array().cast("array<string>")), lambda x: x.isNotNull())
     g = g.select("case_id", "g", F.col("i.severity").alias("severity"), F.coalesce("i.acceptable_categories", F.array("i.category")).alias("cats"), ids.alias("gold_ids"))
-    met = p.join(g.filter("severity = 'major'"), "case_id").filter(F.array_contains("cats", F.col("category")) & ((F.size("gold_ids") == 0) | F.arrays_overlap("gold_ids", "ids")))
+    met = p.join(g, ["case_id", "severity"]).filter(F.array_contains("cats", F.col("category")) & ((F.size("gold_ids") == 0) | F.arrays_overlap("gold_ids", "ids")))
     return p, g, met.groupBy("run_id", "g").agg(F.min("no").alias("first"))
 
 
@@ -166,7 +173,7 @@ def c03(spark, folder):
     """Mock scores calibrated on the papers up to 2024 by a logistic of one feature, measured on the later ones."""
     p = papers(spark, folder).filter("label is not null").select("paper_id", "label", "year", "rating")
     p = p.filter("rating is not null").withColumn("score", F.col("rating") - 5.5)
-    w, b = calibration.logistic_regression(p.filter("year <= 2024"), ["score"], "label", epochs=40)
-    later = p.filter("year > 2024").withColumn("p", 1 / (1 + F.exp(-calibration.linear(["score"], w, b))))
+    slope, intercept = calibration.platt(p.filter("year <= 2024"), "score", "label")
+    later = p.filter("year > 2024").withColumn("p", 1 / (1 + F.exp(-calibration.linear(["score"], [slope], intercept))))
     m = metrics.probability_metrics(later, "label", "p").crossJoin(metrics.expected_calibration_error(later, "label", "p"))
     return m.select("n", *[F.round(c, 4).alias(c) for c in ("brier", "log_loss", "accuracy", "ece")])

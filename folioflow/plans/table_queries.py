@@ -506,7 +506,10 @@ def t02(spark, folder):
     return t.groupBy("paper_id", "section_no").agg(F.max(F.when(F.col("h"), F.trim(F.regexp_replace("line", r"^ {0,3}#+\s+", "")))).alias("heading"), (F.count("*") - 1).alias("lines"))
 
 
-@_query("t06_abstract", "SELECT paper_id, substring(trim(regexp_replace(regexp_extract(markdown.content || chr(10) || '# ', '(?ims)^#{1,4}[ ]*Abstract[^\\n]*\\n(.*?)\\n#{1,4}[ ]', 1), '[[:space:]]+', ' ', 'g')), 1, 1024) AS abstract FROM proreview WHERE markdown.content IS NOT NULL")
+_ABSTRACT = "'(?ims)^#{1,4}[ ]*Abstract[^\\n]*\\n(.*?)\\n#{1,4}[ ]'"
+
+
+@_query("t06_abstract", f"SELECT paper_id, substring(trim(regexp_replace(CASE WHEN regexp_matches(markdown.content || chr(10) || '# ', {_ABSTRACT}) THEN regexp_extract(markdown.content || chr(10) || '# ', {_ABSTRACT}, 1) ELSE markdown.content END, '[[:space:]]+', ' ', 'g')), 1, 1024) AS abstract FROM proreview WHERE markdown.content IS NOT NULL")
 def t06(spark, folder):
     """The text under the heading of the abstract, or the whole text where there is no such heading."""
     t = table(spark, folder, "proreview").filter("markdown.content is not null")

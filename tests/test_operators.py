@@ -206,7 +206,7 @@ def test_calibration(spark):
     assert calibration.mid_rank_percentile(df, "v", ref.limit(0), "r").filter("id = 1").first().percentile is None
     rows = [(i, i % 2, (i % 2) * 2.0 - 1 + random.Random(i).gauss(0, 0.5)) for i in range(200)]
     z = frame(spark, rows)
-    w, b = calibration.logistic_regression(z, ["s"], "y", epochs=60)
+    w, b = calibration.logistic_regression(z, ["s"], "y", l2=1e-3)
     p = z.withColumn("p", numbers.sigmoid(calibration.linear(["s"], w, b)))
     assert metrics.auc(p, "y", "p").first().auc > 0.95 and w[0] > 0
     assert calibration.logistic_regression(frame(spark, []), ["s"], "y")[0] == [0.0]
