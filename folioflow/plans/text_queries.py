@@ -186,8 +186,21 @@ _project(
         ).replace("{{", "{").replace("}}", "}")
     },
 )
-_project("f21_reference_count", "proreview", "paper_id", lambda: {"references": text.reference_count(F.col("markdown.content"))})
-_project("f30_sentences", "proreview", "paper_id", lambda: {"sentences": text.sentences(F.col("markdown.content"))})
+_FROM = "coalesce(nullif(regexp_extract(markdown.content, '(?is)((?:^|\\n)\\s*(?:参考文献|references?|bibliography)\\s*[:：]?.*)$', 1), ''), markdown.content)"
+_project(
+    "f21_reference_count",
+    "proreview",
+    "paper_id",
+    lambda: {"references": text.reference_count(F.col("markdown.content"))},
+    {"references": f"greatest(len(regexp_extract_all({_FROM}, '(?:^|\\n)\\s*(?:\\[\\d+\\]|\\d+[.)、])\\s+')), least(len(regexp_extract_all({_FROM}, '(?i)\\([12][0-9]{{3}}[a-z]?\\)')), 200))"},
+)
+_project(
+    "f30_sentences",
+    "proreview",
+    "paper_id",
+    lambda: {"sentences": text.sentences(F.col("markdown.content"))},
+    {"sentences": "list_filter(list_transform(regexp_split_to_array(regexp_replace(markdown.content, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), '\\x01|\\n+'), lambda s: " + _SQUEEZE.format("s") + "), lambda s: length(s) >= 20)"},
+)
 _project(
     "f32_prompt",
     "proreview",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,14 +32,45 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, quoted cells with doubled quotes and line ends, missing cells as empty texts."""
-    t = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
-    return t.na.fill("")
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """JSON documents over several lines, one object or an array of them a file; a broken one is an error."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', quoteAll=True)
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", most: int = 100_000) -> None:
+    """The table as one indented JSON document, an array of its rows; a table of more than ``most`` rows is an error, since a document is one task's work."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a document of more than {most} rows")
+    rows = df.coalesce(1).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    rows.write.mode(mode).text(path)
+
+
+def audit_sample(df: DataFrame, columns: list[str], path: str, rows: int = 20) -> None:
+    """The first rows, some columns, as JSON lines for the eye."""
+    df.select(*columns).limit(rows).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """CSV with a header, quoted cells with doubled quotes and line ends; rows of nothing but blanks are left out, missing cells are empty texts.
+
+    Without a schema the types are inferred, by one more pass over the file.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", True)
+    t = reader.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    said = [F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) != "" for c in t.columns]
+    return t.filter(F.greatest(*said) if len(said) > 1 else said[0]).na.fill("")
+
+
+def lossless(df: DataFrame) -> DataFrame:
+    """Floating-point columns as texts of 17 significant digits, from which the same number is read again; others as they are."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("%.16e", F.col(c).cast("double"))) for c in floats})
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", exact: bool = False) -> None:
+    """CSV with a header, every cell quoted; ``exact`` writes floating-point numbers without loss."""
+    (lossless(df) if exact else df).write.mode(mode).csv(path, header=True, quote='"', escape='"', quoteAll=True)
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -75,6 +106,11 @@ def read_documents(spark: SparkSession, path: str, least: int = 120) -> DataFram
     return raw.select("path", document_text(F.decode("content", "UTF-8")).alias("text")).filter(F.length("text") >= least)
 
 
+def html_section(c: Column, heading: str) -> Column:
+    """The part of a page from a heading (of any rank, by its text) to the next of that rank or the end; empty without one."""
+    return F.regexp_extract(c, rf"(?is)<h([1-6])[^>]*>\s*{heading}\s*</h\1>(.*?)(?=<h\1[\s>]|\z)", 2)
+
+
 def html_rows(pages: DataFrame, key: str, html: str, cells: int = 4) -> DataFrame:
     """``(key, cells)``: the list items of a page that have at least so many cells, tags stripped."""
     from folioflow.functions.text import decode_html

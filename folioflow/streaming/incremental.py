@@ -29,6 +29,16 @@ def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return kept.select(*key, "_r.*").select(*df.columns)
 
 
+def upsert(store: DataFrame, changes: DataFrame, key: str, at: str = "updated_at") -> DataFrame:
+    """The store with changed rows in place of those of their key and new rows added; of several changes of a key the latest by ``at``.
+
+    A patch: null fields of a change leave what the store has. Changes without a key count for nothing.
+    """
+    latest = last_wins(changes.filter(F.col(key).isNotNull()), [key], [at]).select(key, *[F.col(c).alias(f"_{c}") for c in changes.columns if c != key])
+    both = store.join(latest, key, "full_outer")
+    return both.select(*[F.col(c) if c == key or f"_{c}" not in both.columns else F.coalesce(f"_{c}", c).alias(c) for c in store.columns])
+
+
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in the given order."""
     rest = [c for c in df.columns if c not in key]

@@ -1,4 +1,4 @@
-from folioflow.operators.extract import chosen_sentences, evidence_fields, segments
+from folioflow.operators.extract import BUDGETS, chosen_sentences, evidence_fields, segments
 from folioflow.operators.ranks import group_row_number, tile
 from folioflow.plans import registry
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ def test_segments(spark):
 
 def test_evidence_fields(spark):
     rows = [("a", MARKDOWN), ("b", ""), ("c", None), ("d", "text without any heading " * 20)]
-    got = {r.id: r for r in evidence_fields(spark.createDataFrame(rows, "id string, md string"), "id", "md", 90).collect()}
+    got = {r.id: r for r in evidence_fields(spark.createDataFrame(rows, "id string, md string"), "id", "md", dict.fromkeys(BUDGETS, 90)).collect()}
     assert sorted(got) == ["a", "b", "d"]
     a = got["a"]
     assert a.abstract.startswith("We propose") and a.experiment.startswith("The dataset") and "outperform" in a.finding

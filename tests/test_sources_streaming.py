@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.sources import files
+from folioflow.sources import files, paged
 from folioflow.sources.tables import pruned_table
 from folioflow.streaming import incremental
 
@@ -98,3 +98,58 @@ def test_windowed_counts_on_a_table(spark):
     t = spark.createDataFrame([("2024-01-01 00:01:00", "x"), ("2024-01-01 00:04:00", "x"), ("2024-01-01 00:06:00", "y")], "ts string, k string").select(F.to_timestamp("ts").alias("ts"), "k")
     got = sorted((x.k, x.n) for x in incremental.windowed_counts(t, "ts", "k", "5 minutes", "1 hour").collect())
     assert got == [("x", 2), ("y", 1)]
+
+
+def test_paged_scan(spark):
+    rows = [{"id": i, "title": f"t{i}"} for i in range(25)]
+    want = [r["id"] for r in rows]
+    for fetch in (lambda a, n: (rows[a : a + n], len(rows)), lambda a, n: (rows[a : a + n], None)):
+        for limit in (0, 7, 25, 100):
+            got = sorted(json.loads(x.value)["id"] for x in paged.paged(spark, fetch, 4, limit, 10).collect())
+            assert got == want[: limit or None]
+    assert paged.paged(spark, lambda a, n: ([], 0)).count() == 0
+
+
+def test_calls_with_retries(spark):
+    waits = []
+
+    def flaky(row):
+        row["tries"] = row.get("tries", 0) + 1
+        if row["tries"] < 3:
+            raise paged.Refused
+        return row["tries"]
+
+    assert paged.with_retries(flaky, wait=waits.append)({}) == 3 and waits == [0.5, 1.0]
+    with pytest.raises(paged.Refused):
+        paged.with_retries(flaky, attempts=1, wait=waits.append)({})
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, s string")
+    for ordered in (True, False):
+        got = {x.id: x for x in paged.called(df, lambda r: r["s"].upper(), 2, ordered).collect()}
+        assert got[1].answer == '"A"' and got[1].error is None and got[2].answer is None and "AttributeError" in got[2].error
+
+
+def test_json_documents_and_exact_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.1 + 0.2, "x"), (2, None, None)], "id int, v double, s string")
+    files.write_json(df, f"{tmp_path}/d")
+    assert sorted(map(tuple, files.read_json(spark, f"{tmp_path}/d", df.schema).collect())) == [(1, 0.1 + 0.2, "x"), (2, None, None)]
+    with pytest.raises(ValueError):
+        files.write_json(df, f"{tmp_path}/e", most=1)
+    files.write_csv(df, f"{tmp_path}/c", exact=True)
+    assert {x.id: x.v for x in files.read_csv(spark, f"{tmp_path}/c").collect()}[1] == 0.1 + 0.2
+    (tmp_path / "blank.csv").write_text("id,name\n1,a\n , \n,\n2,b\n")
+    assert files.read_csv(spark, f"{tmp_path}/blank.csv", T.StructType.fromDDL("id string, name string")).count() == 2
+    files.audit_sample(spark.range(100).withColumn("x", F.lit(1)), ["id"], f"{tmp_path}/s", 5)
+    assert spark.read.json(f"{tmp_path}/s").columns == ["id"] and spark.read.json(f"{tmp_path}/s").count() == 5
+
+
+def test_html_section(spark):
+    page = "<h2>A</h2><p>x</p><h3>sub</h3>y<h2 class='k'>B</h2>z"
+    df = spark.createDataFrame([(page,), (None,)], "h string")
+    assert [x.s for x in df.select(files.html_section(F.col("h"), "A").alias("s")).collect()] == ["<p>x</p><h3>sub</h3>y", None]
+    assert df.select(files.html_section(F.col("h"), "B").alias("s")).first().s == "z"
+
+
+def test_upsert(spark):
+    store = spark.createDataFrame([("a", "one", 1), ("b", "two", 1)], "id string, name string, updated_at int")
+    changes = spark.createDataFrame([("a", None, 2), ("a", "uno", 1), ("c", "three", 5), (None, "x", 9)], "id string, name string, updated_at int")
+    assert sorted(map(tuple, incremental.upsert(store, changes, "id").collect())) == [("a", "one", 2), ("b", "two", 1), ("c", "three", 5)]
