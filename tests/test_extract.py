@@ -1,7 +1,8 @@
+from pyspark.sql import functions as F
+
 from folioflow.operators.extract import BUDGETS, chosen_sentences, evidence_fields, segments
 from folioflow.operators.ranks import group_row_number, tile
 from folioflow.plans import registry
-from pyspark.sql import functions as F
 
 MARKDOWN = """Title page, which counts for nothing at all here.
 
@@ -31,12 +32,14 @@ def test_segments(spark):
 
 
 def test_evidence_fields(spark):
-    rows = [("a", MARKDOWN), ("b", ""), ("c", None), ("d", "text without any heading " * 20)]
+    # The words of a heading are whole words: "Experiments" is none of them, and all sections are read in its place.
+    rows = [("a", MARKDOWN.replace("Experiments", "Experiment")), ("plural", MARKDOWN), ("b", ""), ("c", None), ("d", "text without any heading " * 20)]
     got = {r.id: r for r in evidence_fields(spark.createDataFrame(rows, "id string, md string"), "id", "md", dict.fromkeys(BUDGETS, 90)).collect()}
-    assert sorted(got) == ["a", "b", "d"]
+    assert sorted(got) == ["a", "b", "d", "plural"]
     a = got["a"]
     assert a.abstract.startswith("We propose") and a.experiment.startswith("The dataset") and "outperform" in a.finding
     assert all("reference that" not in x and "Title page" not in x for x in a[1:]) and all(len(x) <= 90 for x in a[1:])
+    assert got["plural"].experiment.startswith("We propose") and "The dataset" in got["plural"].experiment
     assert got["b"][1:] == ("", "", "", "") and got["d"][1:] == ("", "", "", "")
 
 
