@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators.ranks import global_row_number
+from folioflow.plans.lineage import cut
 from folioflow.plans.sizes import bounded_rows
 from folioflow.sources.tables import pruned_table
 
@@ -195,7 +196,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, size: str = "tokens", ke
     others, in one container if there is no other. Repeated rows are items of their
     own. No items give no rows.
     """
-    numbered = global_row_number(pieces.filter(F.col(size).isNotNull()), [F.col(size), *map(F.col, key)], "_number")
+    # Range partitions read their input twice, once for its quantiles: counting tokens is done by then.
+    counted = cut(pieces.filter(F.col(size).isNotNull()))
+    numbered = global_row_number(counted, [F.col(size), *map(F.col, key)], "_number")
     histogram = {r[size]: r["count"] for r in bounded_rows(numbered.groupBy(size).count(), capacity + 1, "lengths")}
     if histogram and (min(histogram) < 0 or max(histogram) > capacity):
         raise ValueError(f"an item of {max(histogram)} in containers of {capacity}")
