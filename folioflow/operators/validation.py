@@ -48,3 +48,15 @@ def without_overlap(train: DataFrame, test: DataFrame, keys: list[Column], empty
         t = test.select(k.alias("_k")).filter("_k is not null" if empty_matches else "_k is not null and _k <> ''").distinct()
         train = train.withColumn("_k", k).join(t, "_k", "left_anti").drop("_k")
     return train
+
+
+def strict_lookup(df: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
+    """``df`` with the catalogue's columns for its key; a key that the catalogue lacks, a null key, or one that it has twice is an error.
+
+    Both are counted before anything is joined; an empty table needs no catalogue.
+    """
+    twice = catalogue.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").count()
+    unknown = df.select(key).distinct().join(catalogue.select(key).filter(F.col(key).isNotNull()), key, "left_anti").count()
+    if twice or unknown:
+        raise ValueError(f"{key}: {unknown} unknown and {twice} repeated keys")
+    return df.join(catalogue, key)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import hashing, text
-from folioflow.functions.numbers import ratio
-from folioflow.operators import cases, fusion, metrics
+from folioflow.functions.numbers import ratio, sigmoid
+from folioflow.operators import calibration, cases, fusion, metrics, validation
 from folioflow.operators.ranks import global_row_number, group_row_number, quantiles
 from folioflow.plans.rank_queries import _BATCHED, _rankings
 from folioflow.plans.review_queries import _BODY
@@ -484,3 +484,92 @@ def d05(spark, folder):
     """A digest of each group's members, whatever their order, that no group is gathered for."""
     t = table(spark, folder, "documents").filter("text is not null").groupBy("doc_kind", F.sha2(F.lower(F.trim("text")), 256).alias("h")).agg(F.count("*").alias("n"))
     return t.groupBy("doc_kind").agg(F.count("*").alias("texts"), F.sum("n").alias("copies"), hashing.set_digest(F.col("h")).alias("digest"))
+
+
+# ---- lookups, tables of runs, and scores ----
+
+
+@_query("j11_strict_lookup", "SELECT s_suppkey, n_name AS nation FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def j11(spark, folder):
+    """Suppliers with their nations; a nation that isn't there would be an error."""
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
+    return validation.strict_lookup(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), nations, "s_nationkey").select("s_suppkey", "nation")
+
+
+@_query("j03_readable_papers", f"SELECT x.paper_id AS paper_id, x.mock AS mock FROM {PAPERS_SQL} x JOIN proreview p USING (paper_id) WHERE trim(p.title) <> '' AND trim(p.markdown.content) <> ''")
+def j03(spark, folder):
+    """Scores of the papers that have a title and a text."""
+    there = _markdown(spark, folder).filter("trim(title) <> '' and trim(content) <> ''").select("paper_id")
+    return papers(spark, folder).select("paper_id", "mock").join(there, "paper_id")
+
+
+@_query("r04_consistent_couples", f"{ORACLE['j06_two_orientations'].rsplit(' FROM g o', 1)[0].rsplit('SELECT', 1)[0]} SELECT o.x AS x, o.y AS y, o.won AS won FROM g o JOIN g s ON o.x = s.x AND o.y = s.y AND o.straight AND NOT s.straight WHERE o.won = s.won AND o.won <> 'tie'")
+def r04(spark, folder):
+    """Couples with the same winner in both orders; a tie is nobody's win."""
+    return j06(spark, folder).filter("consistent and won <> 'tie'").select("x", "y", "won")
+
+
+_RUNS = "(SELECT model, count_if(status = 'ok') / count(*) AS ok, count_if(schema_valid) / count(*) AS valid FROM eval_runs GROUP BY 1)"
+
+
+@_query("m24_margins", f"WITH r AS {_RUNS}, b AS (SELECT * FROM r ORDER BY model LIMIT 1) SELECT r.model AS model, round(r.ok, 6) AS ok, round(r.valid, 6) AS valid, r.ok >= b.ok - 0.02 AS ok_held, r.valid >= b.valid - 0.03 AS valid_held, r.ok >= b.ok - 0.02 AND r.valid >= b.valid - 0.03 AS all_held FROM r, b")
+def m24(spark, folder):
+    """Each model against the first by two shares with a margin each."""
+    r = table(spark, folder, "eval_runs").groupBy("model").agg((F.count_if(F.col("status") == "ok") / F.count("*")).alias("ok"), (F.count_if("schema_valid") / F.count("*")).alias("valid"))
+    b = r.orderBy("model").limit(1).select(F.col("ok").alias("b_ok"), F.col("valid").alias("b_valid"))
+    held = [(F.col("ok") >= F.col("b_ok") - 0.02).alias("ok_held"), (F.col("valid") >= F.col("b_valid") - 0.03).alias("valid_held")]
+    return r.crossJoin(F.broadcast(b)).select("model", F.round("ok", 6).alias("ok"), F.round("valid", 6).alias("valid"), *held).withColumn("all_held", F.col("ok_held") & F.col("valid_held"))
+
+
+@_query("c05_tiers", f"SELECT venue, CASE WHEN support >= 100 AND n >= 200 AND e <= 0.05 THEN 'high' WHEN support >= 30 AND n >= 50 AND e <= 0.12 THEN 'medium' ELSE 'low' END AS tier FROM (SELECT venue, count(*) AS support, count(label) AS n, abs(avg(CASE WHEN label IS NOT NULL THEN 1 / (1 + exp(-mock)) END) - avg(label)) AS e FROM {PAPERS_SQL} GROUP BY 1)")
+def c05(spark, folder):
+    """How far each venue's calibration can be relied on."""
+    p = F.when(F.col("label").isNotNull(), sigmoid(F.col("mock")))
+    t = papers(spark, folder).groupBy("venue").agg(F.count("*").alias("support"), F.count("label").alias("n"), F.abs(F.avg(p) - F.avg("label")).alias("e"))
+    return t.select("venue", calibration.confidence_tier(F.col("support"), F.col("n"), F.col("e")).alias("tier"))
+
+
+@_query("c07_reference_scores", f"SELECT round(mock, 8) AS score, row_number() OVER (ORDER BY round(mock, 8), paper_id) AS place FROM {PAPERS_SQL} WHERE year <= 2024")
+def c07(spark, folder):
+    """The sorted scores that others are calibrated by."""
+    t = papers(spark, folder).filter("year <= 2024").select("paper_id", F.round("mock", 8).alias("score"))
+    return global_row_number(t, [F.col("score"), F.col("paper_id")], "place").select("score", "place")
+
+
+@_query("f51_roundings", "SELECT s_suppkey, CAST(floor(x + 0.5) AS BIGINT) AS half_up, CAST(CASE WHEN x = floor(x) + 0.5 THEN floor(x) + floor(x) % 2 ELSE floor(x + 0.5) END AS BIGINT) AS half_even, CAST(trunc(x) AS BIGINT) AS cut FROM (SELECT s_suppkey, s_suppkey / 2 AS x FROM supplier)")
+def f51(spark, folder):
+    """Halves rounded up, to even, and cut off."""
+    x = F.col("s_suppkey") / 2
+    return table(spark, folder, "supplier").select("s_suppkey", F.floor(x + 0.5).alias("half_up"), F.bround(x, 0).cast("bigint").alias("half_even"), x.cast("bigint").alias("cut"))
+
+
+@_query("f57_recency", f"SELECT paper_id, greatest(0, 20 - 4 * (2026 - year)) AS recency, year >= 2026 - 3 AS in_window FROM {PAPERS_SQL}")
+def f57(spark, folder):
+    """What a year is worth, and whether it lies in a window, as of a given year; null for none."""
+    age = F.lit(2026) - F.col("year")
+    return papers(spark, folder).select("paper_id", F.when(F.col("year").isNotNull(), F.greatest(F.lit(0), 20 - 4 * age)).otherwise(0).alias("recency"), (age <= 3).alias("in_window"))
+
+
+@_query("p26_variants", "SELECT paper_id, variant, CASE variant WHEN 'title' THEN coalesce(title, '') ELSE coalesce(title, '') || chr(10) || chr(10) || coalesce(markdown.content, '') END AS input FROM proreview, (VALUES ('title'), ('fulltext')) v(variant)")
+def p26(spark, folder):
+    """Two inputs per paper, by the name of the variant."""
+    title, content = (F.coalesce(c, F.lit("")) for c in ("title", "content"))
+    both = F.array(F.struct(F.lit("title").alias("variant"), title.alias("input")), F.struct(F.lit("fulltext").alias("variant"), F.concat(title, F.lit("\n\n"), content).alias("input")))
+    return _markdown(spark, folder).select("paper_id", F.explode(both).alias("v")).select("paper_id", "v.*")
+
+
+@_query("o20_resolved_names", f"SELECT paper_id, CASE WHEN score >= 75 THEN said END AS resolved, score FROM (SELECT paper_id, said, {_MATCH} AS score, row_number() OVER (PARTITION BY paper_id ORDER BY {_MATCH} DESC, no) AS rn FROM (SELECT paper_id, said, no, {_key_sql('said')} AS a, {_key_sql('venue')} AS b, '' AS c FROM (SELECT x.paper_id, x.venue, unnest([p.metadata.venue, {_LAST.replace('metadata', 'p.metadata')}]) AS said, unnest([1, 2]) AS no FROM proreview p JOIN {PAPERS_SQL} x USING (paper_id)))) WHERE rn = 1")
+def o20(spark, folder):
+    """Of the names a paper gives its venue the one that fits best, the first of equals; none below 75."""
+    t = table(spark, folder, "proreview").select("paper_id", F.array("metadata.venue", F.regexp_replace("metadata.venueid", "^.*/", "")).alias("names")).join(papers(spark, folder).select("paper_id", "venue"), "paper_id")
+    scored = F.transform("names", lambda n, i: F.struct((-text.name_match(n, F.col("venue"), F.lit(""))).alias("minus"), i.alias("no"), n.alias("said")))
+    best = t.select("paper_id", F.array_min(scored).alias("b"))
+    return best.select("paper_id", F.when(F.col("b.minus") <= -75, F.col("b.said")).alias("resolved"), (-F.col("b.minus")).alias("score"))
+
+
+@_query("c10_factors", f"SELECT run_id, array_to_string(list_filter(list_slice(coalesce(r.strengths, []), 1, 3), lambda x: trim(coalesce(x, '')) <> ''), ' | ') AS positive, array_to_string(list_filter(list_transform(list_slice(coalesce(r.major_concerns, []), 1, 4), lambda c: trim(coalesce(c.problem, ''))), lambda x: x <> ''), ' | ') AS risks FROM {_REVIEW_SQL}")
+def c10(spark, folder):
+    """The first strengths and concerns of each review as reasons for its score."""
+    positive = F.filter(F.slice(F.coalesce("r.strengths", F.array().cast("array<string>")), 1, 3), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    problems = F.transform(F.coalesce("r.major_concerns", F.array()), lambda c: F.trim(F.coalesce(c["problem"], F.lit(""))))
+    return structured(spark, folder).select("run_id", F.array_join(positive, " | ").alias("positive"), F.array_join(F.filter(F.slice(problems, 1, 4), lambda x: x != ""), " | ").alias("risks"))
