@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.llm import ranking
 from folioflow.llm.consensus import CUTOFF, RATINGS, score_of, spectral_reliability
 from folioflow.llm.ranking import SELF, SMOOTHING, offence_defence, points_of
 from folioflow.operators.sparse import Joined
@@ -112,3 +113,17 @@ def test_an_annotator_and_an_item_in_a_third_of_all_rows(spark, monkeypatch):
     two = {x.annotator: x.reliability for x in spectral_reliability(df)[1].collect()}, {x.item: x.strength for x in offence_defence(g).collect()}
     for a, b in zip(one, two, strict=True):
         assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_the_games_stay_in_blocks_and_a_hub_is_in_many(spark, monkeypatch):
+    """No round joins the games with a vector; many small blocks give what few give, and a third of all games is not one block."""
+    games = [("hub", f"i{k % 300}", [0.0, 0.5, 1.0][k % 3]) for k in range(600)] + [(f"i{k % 300}", f"i{(k * 7 + 1 + k // 300) % 300}", float(k % 5 > 1)) for k in range(1200)]
+    games = [g for g in games if g[0] != g[1]]
+    df = spark.createDataFrame(games, "a string, b string, points double")
+    one = {x.item: (x.strength, x.games) for x in offence_defence(df).collect()}
+    monkeypatch.setattr(Joined, "with_vector", lambda *_: pytest.fail("the games met a vector in a join"))
+    monkeypatch.setattr(ranking, "BLOCK_GAMES", 40)
+    two = {x.item: (x.strength, x.games) for x in offence_defence(df).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k][0] - two[k][0]) < 1e-6 and one[k][1] == two[k][1] for k in one)
+    sizes = [len(points) for _, _, _, points, _ in ranking.Grid.of(df, SMOOTHING).blocks.collect()]
+    assert len(sizes) == 55 and sum(sizes) == len(games) and max(sizes) < len(games) / 8
