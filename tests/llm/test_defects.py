@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from folioflow.llm.defects import DEFECTS, FUNCTIONS, REFUSALS, choose_cutoffs, defects, plant, planted, posteriors, take_apart, votes
+from folioflow.llm.defects import DEFECTS, FUNCTIONS, REFUSALS, _model, choose_cutoffs, defects, plant, planted, posteriors, take_apart, votes
 
 EN = ["The paper is clearly written and the decoder is a sensible choice for this task.", "My main concern is that the corpus has only 118 items, so a gain of 3 percent may be noise.", "The claim that the model halves the error is not supported by Table 5 of the paper."]
 ZH = ["论文写作清晰，采用混合聚合模块处理天文中的信息抽取是合理的选择，附录中的案例也有帮助。", "我的主要疑虑在于数据集仅有七十条样本，覆盖率提升八个百分点可能只是噪声。", "我无法核实作者的这一结论，建议补充重复实验。"]
@@ -93,3 +93,14 @@ def test_cutoffs_are_chosen_on_planted_defects(spark):
     assert all(right > 0 and wrong == 0 for _, right, wrong, _ in measured)
     assert choose_cutoffs([], chances)[0] == dict.fromkeys(DEFECTS, 0.5)
     assert plant({"raw_output": None, "prompt": None, "review_language": None}, "", 0)["truncated"]["raw_output"] == ""
+
+
+def test_every_answer_chooses_or_validates(spark):
+    """All 700 answers have a say, and the counts give what the answers one by one give."""
+    rows = [row(i, "zh-CN" if i % 2 else "en", review(ZH if i % 2 else EN)) for i in range(700)]
+    df = spark.createDataFrame(rows + rows[:50], SCHEMA)
+    _, chances, cutoffs, measured = _model(df)
+    one_by_one = [r.asDict() for r in planted(df).collect()]
+    assert (cutoffs, measured) == choose_cutoffs(one_by_one, chances)
+    other = choose_cutoffs(one_by_one, chances, 1)[1]
+    assert all(a[1] + a[3] + b[1] + b[3] == 700 and not a[2] and not b[2] for a, b in zip(measured, other, strict=True))
